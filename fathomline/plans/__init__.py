@@ -1 +1,4 @@
+"""Named queries over the tables, and SQL with the same results."""
 
+QUERIES: dict = {}
+ORACLES: dict = {}
