@@ -77,10 +77,14 @@ def deflated_sharpe(sr: float, n: int, skew: float, kurt: float, variance: float
     return probabilistic_sharpe(sr, n, skew, kurt, expected_max_sharpe(variance, trials))
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode normalisation, form NFKC."""
-    return s.str.normalize("NFKC")
+def nfkc(c: Column) -> Column:
+    """Unicode normalisation, form NFKC (Arrow batches; no built-in does it)."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return run(c)
 
 
 def stable_hash(*parts: Column) -> Column:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Bars of events by type and window, final once the watermark has passed; the same columns as the batch bars."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("event_type").alias("symbol"))
+    w = _timed(events, late).groupBy(F.window("ts", width), F.col("event_type").alias("symbol"))
     return w.agg(F.max_by("value", "event_id").alias("close"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum("value").alias("volume"), F.count("*").alias("n")).select("symbol", F.col("window.start").alias("ts"), "close", "low", "high", "volume", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Sessions of users."""
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    s = _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last"), "n")
 
 
