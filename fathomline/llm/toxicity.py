@@ -3,14 +3,17 @@
 Words are lower-cased runs of letters and digits. An expression counts once in a document, in learning and in scoring,
 so that a text that repeats itself does not stand for many. Counts over all labelled rows to learn from give, for each class c,
 
-    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + B_c(v) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / n_c + B_c * K(w)
-
-with B_c the share of counts that the discount D takes, and K(w) the share of distinct left contexts of w over both classes together: the shared backoff. Words that both
-classes together have fewer than `rare` times are one rare word, so that their class is not read off single cases; a
-context that some class has fewer than `rare` times backs off whole. A text's log-likelihood ratio per distinct bigram (and per square root of their number) goes through
-a logistic calibration fitted on about `calibrate` rows of each class (the documented bound) of a quarter of the rows to
-learn from, which the counts leave out.
+    P_c(w | v) = (1 - B(v)) * max(n_c(v w) - D_c, 0) / kept_c(v) + B(v) * P_c(w)
+    P_c(w)     = (1 - B) * max(n_c(w) - D_c, 0) / kept_c + B * K(w)
+
+with kept_c the counts left by the discount, B the share of all counts that it takes, and K(w) the share of distinct
+left contexts of w. B and K are taken over both classes together: what a class has no counts for beyond the discount
+comes from backoff that both share, and so says nothing of the class. The discount is D documents of the smaller class
+and the same share of the larger one. An expression whose classes differ by no more than chance (five standard errors)
+or by less than a factor of four is scored by shared counts, too, and so adds nothing. Words that both classes together have in fewer than `rare` documents back off to
+their longest known prefix (PREFIXES, in bytes) and else to one rare word. A text's log-likelihood ratio per distinct
+bigram (and per square root of their number) goes through a logistic calibration fitted on about `calibrate` rows of
+each class (the documented bound) of a quarter of the rows to learn from, which the counts leave out.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from .common import LOWER, hash_spans, held_out, saved, slices, squeezed, words
 
 _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-#: More than the usual 0.75: a count under this says nothing of its class, which leaves it to the shared backoff.
+#: More than the usual 0.75, as counts of a few documents are left to the shared backoff.
 DISCOUNT = 4.0
 BITS = 24
 NONE = (1 << BITS) - 1
@@ -48,10 +51,10 @@ def _sums(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Model:
-    """Sorted word hashes; log-ratio of each word, of each context's backoff weight, and of the stored bigrams."""
+    """Sorted word hashes, and the log-ratios of each word and of the stored bigrams."""
 
-    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, context: np.ndarray, pairs: np.ndarray, ratio: np.ndarray):
-        self.vocabulary, self.word, self.context, self.pairs, self.ratio = vocabulary, word, context, pairs, ratio
+    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, pairs: np.ndarray, ratio: np.ndarray):
+        self.vocabulary, self.word, self.pairs, self.ratio = vocabulary, word, pairs, ratio
         self.a, self.b, self.c = 1.0, 0.0, -2.0
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -68,8 +71,7 @@ class Model:
             part = slice(at[lo], at[min(lo + (1 << 14), len(n))])
             key = np.unique(((row[part] - lo) << 2 * BITS) | (before[part] << BITS) | w[part])
             of, code = (key >> 2 * BITS) + lo, key & ((1 << 2 * BITS) - 1)
-            v, u = code >> BITS, code & NONE
-            x = self.word[u] + np.where(v == NONE, 0.0, self.context[np.where(v == NONE, 0, v)])
+            x = self.word[code & NONE]
             if len(self.pairs):
                 k = np.searchsorted(self.pairs, code)
                 k[k == len(self.pairs)] = 0
@@ -94,6 +96,15 @@ def _ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_chance(o: np.ndarray, t: np.ndarray, documents: dict[int, int], sigmas: float = 5.0, factor: float = 4.0) -> np.ndarray:
+    """Expressions whose shares of the two classes' documents differ no more than chance lets them, or by under `factor`
+    (as they do where one class has more texts of some language or subject)."""
+    n_o, n_t = (max(1, documents.get(y, 1)) for y in (0, 1))
+    q = np.clip((o + t) / (n_o + n_t), 1e-12, 1 - 1e-12)
+    a, b = t / n_t, o / n_o
+    return (np.abs(a - b) < sigmas * np.sqrt(q * (1 - q) * (1 / n_o + 1 / n_t))) | (np.maximum(a, b) < factor * np.minimum(a, b))
+
+
 def _aside():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
 
@@ -174,28 +185,29 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
     pairs = pairs.where(left != NONE)
     for w, n in pairs.groupBy(right.alias("w")).count().collect():  # at most vocabulary_size + 1 rows
         spread[w] = n
-    heads = np.zeros((4, size))
-    for v, *x in pairs.groupBy(left.alias("v")).agg(F.sum("ordinary"), F.sum("toxic"), F.sum(F.least("ordinary", F.lit(DISCOUNT))), F.sum(F.least("toxic", F.lit(DISCOUNT)))).collect():  # as many
+    documents = {r[0]: r[1] for r in counted.groupBy("toxic").count().collect()}
+    fewest = max(1, min(documents.values()))
+    cut_o, cut_t = (DISCOUNT * documents.get(y, 1) / fewest for y in (0, 1))
+    kept = lambda column, cut: F.sum(F.greatest(F.col(column) - cut, F.lit(0.0)))
+    heads = np.zeros((3, size))
+    for v, *x in pairs.groupBy(left.alias("v")).agg(kept("ordinary", cut_o), kept("toxic", cut_t), F.sum(both)).collect():  # as many
         heads[:, v] = x
     shared = (spread + 1e-3) / (spread.sum() + 1e-3 * size)
-
-    def unigram(own):
-        total = max(own.sum(), 1)
-        return np.maximum(own - DISCOUNT, 0) / total + max(np.minimum(own, DISCOUNT).sum(), 1) / total * shared
-
-    p_o, p_t = unigram(own_o), unigram(own_t)
+    left_o, left_t = np.maximum(own_o - cut_o, 0), np.maximum(own_t - cut_t, 0)
+    back = 1 - (left_o.sum() + left_t.sum()) / max((own_o + own_t).sum(), 1)
+    back = min(max(back, 1e-3), 1.0)
+    p_o, p_t = ((1 - back) * x / max(x.sum(), 1) + back * shared for x in (left_o, left_t))
     word = np.log(p_t) - np.log(p_o)
-    word[0] = 0.0  # what is rare backs off to counts that both classes share
-    known_context = (heads[0] >= rare) & (heads[1] >= rare)
-    back_o, back_t = (np.maximum(heads[2 + k], 1) / np.maximum(heads[k], 1) for k in (0, 1))
-    context = np.where(known_context, np.log(back_t) - np.log(back_o), 0.0)
+    word[0] = 0.0  # what is rare in both says nothing
+    word[_by_chance(own_o, own_t, documents)] = 0.0
     code, b_o, b_t = _table(pairs.where((both >= rare) & (right != 0)).orderBy(both.desc(), "key").limit(pairs_size))
     code = code.view(np.int64)
     v, w = code >> BITS, code & ((1 << BITS) - 1)
-    keep = known_context[v]
+    keep = (heads[0][v] >= rare) & (heads[1][v] >= rare) & ~_by_chance(b_o, b_t, documents)
     code, v, w, b_o, b_t = code[keep], v[keep], w[keep], b_o[keep], b_t[keep]
-    ratio = np.log(np.maximum(b_t - DISCOUNT, 0) / heads[1][v] + back_t[v] * p_t[w]) - np.log(np.maximum(b_o - DISCOUNT, 0) / heads[0][v] + back_o[v] * p_o[w])
-    model = Model(vocabulary, word, context, code, ratio)
+    back_v = np.clip(1 - (heads[0][v] + heads[1][v]) / np.maximum(heads[2][v], 1), 1e-3, 1.0)
+    ratio = np.log((1 - back_v) * np.maximum(b_t - cut_t, 0) / heads[1][v] + back_v * p_t[w]) - np.log((1 - back_v) * np.maximum(b_o - cut_o, 0) / heads[0][v] + back_v * p_o[w])
+    model = Model(vocabulary, word, code, ratio)
     rate = F.when(F.col("toxic") == 1, min(1.0, calibrate / sizes[1])).otherwise(min(1.0, calibrate / sizes[0]))
     sample = rows.where(_aside() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)))
 
