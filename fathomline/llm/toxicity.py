@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Words are lower-cased runs of letters and digits. An expression counts once in a document, in learning and in scoring,
-so that a text that repeats itself does not stand for many. Counts over all labelled rows to learn from give, for each class c,
+so that a text that repeats itself does not stand for many, and of copies (texts with equal minimum over the hashes of
+their three-word runs) one is learned from. Counts over all labelled rows to learn from give, for each class c,
 
     P_c(w | v) = (1 - B(v)) * max(n_c(v w) - D_c, 0) / kept_c(v) + B(v) * P_c(w)
     P_c(w)     = (1 - B) * max(n_c(w) - D_c, 0) / kept_c + B * K(w)
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, hash_spans, held_out, saved, slices, squeezed, words
+from .common import LOWER, hash_spans, held_out, ngrams, saved, slices, squeezed, words
 
 _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -160,9 +161,16 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             texts = [unpack(x).decode() for x in b.column("packed").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), b.column("toxic")], names=["doc_id", "text", "toxic"])
+            batch = pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), b.column("toxic")], names=["doc_id", "text", "toxic"])
+            for piece, buf, offs in slices(batch, "text"):
+                h, at = hashed(buf, offs)
+                g = ngrams(h[0], 3)
+                key = [int(g[a : z - 2].min()) if z - a > 2 else int(h[0, a:z].sum(dtype=np.uint64)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.record_batch([*piece.columns, pa.array(np.array(key, np.uint64).view(np.int64))], names=["doc_id", "text", "toxic", "key"])
 
-    rows = saved(packed.join(known, "doc_id").mapInArrow(open_, "doc_id long, text string, toxic long"))
+    rows = saved(packed.join(known, "doc_id").mapInArrow(open_, "doc_id long, text string, toxic long, key long"))
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    rows = saved(rows.join(one.select("doc_id"), "doc_id", "left_semi").drop("key"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
