@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_html, op4_shard
 #: Removal of repeated 35-word windows is a count of windows; DuckDB can say it as it stands.
 ORACLES = {
     "op7_substrings": r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
 h AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 34], ' ')) AS a, md5_number(array_to_string(ws[i:i + 34], ' ')) AS b FROM p),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY a, b) AS n FROM h) WHERE n > 1),
