@@ -8,7 +8,9 @@ form a segment; each window lies in one segment.
 2. Equal segments are counted; one of each is fetched with its words. All segments of an anchor are a reference shard.
 3. Each shard gets a suffix automaton with counts of occurrences. Every segment is streamed through it; a window is
    repeated if its matched state occurs more than once. An anchor with more than `shard_segments` different segments
-   would be an unbounded shard: its windows are counted by 128-bit hashes instead, combined before the shuffle.
+   would be an unbounded shard. It is dealt again by halves of its windows, told apart by the words before the anchor:
+   all windows of a half share the least of those words and of the words after it, and these words name the new shard.
+   A shard with one occurrence goes; a crowded one is halved again, at last to single windows, which name themselves.
 4. Repeated windows come back to their documents, and the words under them are removed.
 
 Automata are sent to the shard's segments by the shuffle rather than broadcast to all documents: what is repeated grows
@@ -17,6 +19,7 @@ with the corpus and has no bound to broadcast under.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -29,12 +32,12 @@ WIDTH, ANCHOR, SHARD_SEGMENTS = 35, 8, 1000
 
 
 def segments(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR):
-    """(anchor hash, segment hash, row, first window's word in its row, windows) of all segments of a slice."""
+    """(anchor hash, segment hash, row, first window's word in its row, windows, anchor's place) of all segments of a slice."""
     starts, ends, at = words(buf, offs)
     total = len(starts)
     none = np.empty(0, np.int64)
     if total < width:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     h = hash_spans(buf, starts, ends)
     g = ngrams(h, anchor)
     span = width - anchor + 1
@@ -67,7 +70,7 @@ def segments(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH, anchor: int
     back[1:] = np.uint64(inverse)
     back = np.cumprod(back, dtype=np.uint64)
     seg = mix((prefix[first + count + width - 1] - prefix[first]) * back[first] + count.astype(np.uint64) * _PLACE[2] + (best[first] - first).astype(np.uint64))
-    return g[best[first]], seg, row, first - at[row], count
+    return g[best[first]], seg, row, first - at[row], count, best[first] - first
 
 
 _PLACE = coefficients(3, 23)
@@ -156,16 +159,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
     def anchors(batches):
         for b in batches:
             for piece, buf, offs in slices(b, "text"):
-                a, s, row, lo, n = segments(buf, offs, width, anchor)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), piece.column("doc_id").take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16))], names=["anchor", "seg", "doc_id", "lo", "n"])
+                a, s, row, lo, n, place = segments(buf, offs, width, anchor)
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), piece.column("doc_id").take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16))], names=["anchor", "seg", "doc_id", "lo", "n", "place"])
 
-    found = saved(docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, seg long, doc_id long, lo int, n short"))
+    found = saved(docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, seg long, doc_id long, lo int, n short, place short"))
     twice = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     occurrences = saved(found.join(twice, "anchor"))
-    distinct = occurrences.groupBy("anchor", "seg", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("at"))
+    distinct = occurrences.groupBy("anchor", "seg", "n", "place").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("at"))
     crowd = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
-    distinct = distinct.join(crowd, "anchor").select("anchor", "seg", "n", "times", (F.col("k") > shard_segments).alias("hot"), "at.doc_id", "at.lo")
-    by_doc = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "n", "times", "hot", "lo")).alias("want"))
+    distinct = distinct.join(crowd, "anchor").select("anchor", "seg", "n", "place", "times", (F.col("k") > shard_segments).alias("hot"), "at.doc_id", "at.lo")
+    by_doc = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "n", "place", "times", "hot", "lo")).alias("want"))
+    fetched = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int16()), ("place", pa.int16()), ("times", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary())])
 
     def fetch(batches):
         import zstandard
@@ -175,11 +179,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
             out: list = []
             for packed, want in zip(b.column("packed").to_pylist(), b.column("want").to_pylist(), strict=True):
                 w = unpack(packed).split() if packed else []
-                out += [(x["anchor"], x["seg"], x["n"], x["times"], x["hot"], b" ".join(w[x["lo"] : x["lo"] + x["n"] + width - 1])) for x in want]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["anchor", "seg", "n", "times", "hot", "words"])
+                out += [(x["anchor"], x["seg"], x["n"], x["place"], x["times"], x["hot"], b" ".join(w[x["lo"] : x["lo"] + x["n"] + width - 1])) for x in want]
+            yield _batch(out, fetched)
 
-    shards = saved(squeezed(docs).join(by_doc, "doc_id").select("packed", "want").mapInArrow(fetch, "anchor long, seg long, n short, times long, hot boolean, words binary"))
+    shards = saved(squeezed(docs).join(by_doc, "doc_id").select("packed", "want").mapInArrow(fetch, "anchor long, seg long, n short, place short, times long, hot boolean, words binary"))
+    masked = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("bits", pa.int64())])
 
     def stream(batches):
         open_: list = []
@@ -188,44 +192,63 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         def close():
             if open_:
                 sam = Automaton()
-                sequences = [w.split() for _, _, _, w in open_]
-                for s, (_, _, times, _) in zip(sequences, open_, strict=True):
+                sequences = [w.split() for *_, w in open_]
+                for s, (*_, times, _) in zip(sequences, open_, strict=True):
                     sam.add(s, times)
                 sam.finish()
-                out.extend((a, seg, bits) for s, (a, seg, _, _) in zip(sequences, open_, strict=True) if (bits := sam.repeated(s, width)))
+                out.extend((a, seg, bits << base) for s, (_, a, seg, base, _, _) in zip(sequences, open_, strict=True) if (bits := sam.repeated(s, width)))
                 open_.clear()
 
-        def block():
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            out.clear()
-            return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["anchor", "seg", "bits"])
-
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "times", "words")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "anchor", "seg", "base", "times", "words")), strict=True):
                 if open_ and open_[0][0] != row[0]:
                     close()
                 open_.append(row)
             if len(out) > 10_000:
-                yield block()
+                yield _batch(out, masked)
+                out.clear()
         close()
-        yield block()
+        yield _batch(out, masked)
+
+    def through_automata(rows: DataFrame) -> DataFrame:
+        rows = rows.select("shard", "anchor", "seg", "base", "times", "words").repartition("shard").sortWithinPartitions("shard")
+        return rows.mapInArrow(stream, "anchor long, seg long, bits long")
 
-    cool = shards.where(~F.col("hot")).select("anchor", "seg", "times", "words").repartition("anchor").sortWithinPartitions("anchor")
-    masks = cool.mapInArrow(stream, "anchor long, seg long, bits long")
+    halved = pa.schema([("shard", pa.binary()), ("anchor", pa.int64()), ("seg", pa.int64()), ("base", pa.int32()), ("times", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("words", pa.binary())])
 
-    def windows(batches):
+    def halve(batches):
+        """Of windows with low to high words before the anchor, those of each half, with the words that they cover."""
         for b in batches:
             out: list = []
-            for a, seg, times, text in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "times", "words")), strict=True):
+            for a, seg, base, times, place, low, high, text in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "base", "times", "place", "low", "high", "words")), strict=True):
                 w = text.split()
-                out += [(hashlib.blake2b(b" ".join(w[i : i + width]), digest_size=16).digest(), a, seg, i, times) for i in range(len(w) - width + 1)]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["window", "anchor", "seg", "i", "times"])
-
-    hot = shards.where("hot").select("anchor", "seg", "times", "words").mapInArrow(windows, "window binary, anchor long, seg long, i int, times long")
-    again = hot.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1")
-    more = hot.join(again, "window").groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
-    return occurrences.join(masks.unionByName(more), ["anchor", "seg"]).select("doc_id", "lo", "bits")
+                middle = (low + high + 1) // 2
+                for p, q in ((low, middle - 1), (middle, high)):
+                    i, j = max(0, place - q), min(len(w) - width, place - p)  # its first and last window
+                    if i <= j:
+                        name = hashlib.blake2b(b"%d " % p + b" ".join(w[place - p : place + width - q]), digest_size=16).digest()
+                        out.append((name, a, seg, base + i, times, place - i, p, q, b" ".join(w[i : j + width])))
+            yield _batch(out, halved)
+
+    masks = through_automata(shards.where(~F.col("hot")).select(F.col("anchor").cast("string").cast("binary").alias("shard"), "anchor", "seg", F.lit(0).alias("base"), "times", "words"))
+    crowded = shards.where("hot").select("anchor", "seg", F.lit(0).alias("base"), "times", F.col("place").cast("int").alias("place"), F.lit(0).alias("low"), F.lit(width - anchor).alias("high"), "words")
+    more = []
+    while not crowded.isEmpty():  # as often as `width - anchor` can be halved
+        parts = saved(crowded.mapInArrow(halve, "shard binary, anchor long, seg long, base int, times long, place int, low int, high int, words binary"))
+        per = parts.groupBy("shard").agg(F.sum("times").alias("total"), F.count("*").alias("k")).where("total > 1")
+        parts = saved(parts.join(per, "shard"))
+        one = F.col("low") == F.col("high")
+        more.append(parts.where(one).select("anchor", "seg", F.expr("shiftleft(1L, base)").alias("bits")))
+        more.append(through_automata(parts.where(~one & (F.col("k") <= shard_segments))))
+        crowded = parts.where(~one & (F.col("k") > shard_segments))
+    if more:
+        masks = masks.unionByName(functools.reduce(DataFrame.unionByName, more).groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits")))
+    return occurrences.join(masks, ["anchor", "seg"]).select("doc_id", "lo", "bits")
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
 def _covered(n: int, spans, width: int) -> np.ndarray:
