@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     across = saved(across.join(star, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         more = saved(_confirmed(across, docs, shingle, num, den))
-        component = connected(links.unionByName(more))
+        component = connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = signed.select("doc_id", *key).join(classes, key, "left").join(component, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
