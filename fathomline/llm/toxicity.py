@@ -153,24 +153,27 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
     others are covered by the rare word and by backoff.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
-    packed = squeezed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out()))
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out())
+
+    def key_of(batches):
+        for b in batches:
+            for piece, buf, offs in slices(b, "text"):
+                h, at = hashed(buf, offs)
+                g = ngrams(h[0], 3)
+                key = [int(g[a : z - 2].min()) if z - a > 2 else int(h[0, a:z].sum(dtype=np.uint64)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.record_batch([piece.column("doc_id"), pa.array(np.array(key, np.uint64).view(np.int64))], names=["doc_id", "key"])
 
     def open_(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = [unpack(x).decode() for x in b.column("packed").to_pylist()]
-            batch = pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string()), b.column("toxic")], names=["doc_id", "text", "toxic"])
-            for piece, buf, offs in slices(batch, "text"):
-                h, at = hashed(buf, offs)
-                g = ngrams(h[0], 3)
-                key = [int(g[a : z - 2].min()) if z - a > 2 else int(h[0, a:z].sum(dtype=np.uint64)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.record_batch([*piece.columns, pa.array(np.array(key, np.uint64).view(np.int64))], names=["doc_id", "text", "toxic", "key"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([unpack(x).decode() for x in b.column("packed").to_pylist()], pa.string()), b.column("toxic")], names=["doc_id", "text", "toxic"])
 
-    rows = saved(packed.join(known, "doc_id").mapInArrow(open_, "doc_id long, text string, toxic long, key long"))
-    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    rows = saved(rows.join(one.select("doc_id"), "doc_id", "left_semi").drop("key"))
+    # one of each group of copies is chosen by keys alone, so that texts are moved once
+    keys = rest.mapInArrow(key_of, "doc_id long, key long").join(known, "doc_id")
+    one = keys.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*").distinct()
+    rows = saved(squeezed(rest).join(one, "doc_id").mapInArrow(open_, "doc_id long, text string, toxic long"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
