@@ -15,6 +15,10 @@ or by less than a factor of four is scored by shared counts, too, and so adds no
 their longest known prefix (PREFIXES, in bytes) and else to one rare word. A text's log-likelihood ratio per distinct
 bigram (and per square root of their number) goes through a logistic calibration fitted on about `calibrate` rows of
 each class (the documented bound) of a quarter of the rows to learn from, which the counts leave out.
+
+Every word and bigram in at least `rare` documents is an expression of the model, which so grows with the corpus. The
+words go to every task, as words must be known before bigrams can be looked up; the bigrams stay in a table and go to
+the tasks in slices, one pass over the texts for each.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: More than the usual 0.75, as counts of a few documents are left to the shared backoff.
 DISCOUNT = 4.0
-BITS = 24
+#: Ids of words have 28 bits; two of them and a row within a group of 128 share 64.
+BITS = 28
 NONE = (1 << BITS) - 1
 
 
@@ -52,38 +57,59 @@ def _sums(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Model:
-    """Sorted word hashes, and the log-ratios of each word and of the stored bigrams."""
+    """Sorted word hashes with the log-ratio of each word; the bigrams with a ratio of their own are fetched in slices."""
 
-    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, pairs: np.ndarray, ratio: np.ndarray):
-        self.vocabulary, self.word, self.pairs, self.ratio = vocabulary, word, pairs, ratio
+    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, parts: int, fetch):
+        self.vocabulary, self.word, self.parts, self.fetch = vocabulary, word, parts, fetch
         self.a, self.b, self.c = 1.0, 0.0, -2.0
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return _ids(self.vocabulary, h)
-
-    def sums(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood ratio and number of distinct bigrams of each row (the first word has no context)."""
-        w = self.ids(h)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        before = np.concatenate([[NONE], w[:-1]]) if len(w) else w
-        before[at[:-1][at[:-1] < at[1:]]] = NONE
-        out, n = np.zeros(len(at) - 1), np.zeros(len(at) - 1, np.int64)
-        for lo in range(0, len(n), 1 << 14):  # rows and code share 64 bits
-            part = slice(at[lo], at[min(lo + (1 << 14), len(n))])
-            key = np.unique(((row[part] - lo) << 2 * BITS) | (before[part] << BITS) | w[part])
-            of, code = (key >> 2 * BITS) + lo, key & ((1 << 2 * BITS) - 1)
-            x = self.word[code & NONE]
-            if len(self.pairs):
-                k = np.searchsorted(self.pairs, code)
-                k[k == len(self.pairs)] = 0
-                x = np.where(self.pairs[k] == code, self.ratio[k], x)
-            out += np.bincount(of, x, len(n))
-            n += np.bincount(of, minlength=len(n))
-        return out, n
-
-    def score(self, llr: np.ndarray, n: np.ndarray) -> np.ndarray:
-        n = np.maximum(n, 1)
-        return 1 / (1 + np.exp(-np.clip(self.a * llr / n + self.b * llr / np.sqrt(n) + self.c, -30, 30)))
+
+def _sums_of(h: np.ndarray, at: np.ndarray, vocabulary: np.ndarray, word: np.ndarray, pairs: np.ndarray, ratio: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio and number of distinct bigrams of each row (the first word has no context); unless it is the
+    first slice of bigrams, only what its bigrams add to the ratio of their words."""
+    w = _ids(vocabulary, h)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    before = np.concatenate([[NONE], w[:-1]]) if len(w) else w
+    before[at[:-1][at[:-1] < at[1:]]] = NONE
+    out, n = np.zeros(len(at) - 1), np.zeros(len(at) - 1, np.int64)
+    step = 1 << 63 - 2 * BITS
+    for lo in range(0, len(n), step):  # rows and code share 64 bits
+        hi = min(lo + step, len(n))
+        part = slice(at[lo], at[hi])
+        key = np.unique(((row[part] - lo) << 2 * BITS) | (before[part] << BITS) | w[part])
+        of, code = key >> 2 * BITS, key & ((1 << 2 * BITS) - 1)
+        own = word[code & NONE]
+        x = own
+        if len(pairs):
+            k = np.searchsorted(pairs, code)
+            k[k == len(pairs)] = 0
+            x = np.where(pairs[k] == code, ratio[k], own)
+        out[lo:hi] = np.bincount(of, x if first else x - own, hi - lo)
+        if first:
+            n[lo:hi] = np.bincount(of, minlength=hi - lo)
+    return out, n
+
+
+def _summed(rows: DataFrame, keep: list[str], model: Model) -> DataFrame:
+    """The columns `keep` of each row with llr and n of its text, over all slices of the model's bigrams."""
+    vocabulary, word = model.vocabulary, model.word
+    state = rows.select(*keep, "text", F.lit(0.0).alias("llr"), F.lit(0).cast("long").alias("n"))
+    for k in range(model.parts):
+        last = k == model.parts - 1
+
+        def run(batches, slice_=model.fetch(k), first=k == 0, last=last):
+            for b in batches:
+                for piece, buf, offs in slices(b, "text"):
+                    llr, n = _sums_of(*hashed(buf, offs), vocabulary, word, *slice_, first)
+                    names = keep if last else [*keep, "text"]
+                    llr, n = llr + piece.column("llr").to_numpy(), n + piece.column("n").to_numpy()
+                    yield pa.record_batch([*(piece.column(c) for c in names), pa.array(llr), pa.array(n)], names=[*names, "llr", "n"])
+
+        out = state.drop("text") if last else state
+        state = state.mapInArrow(run, out.schema)
+        if not last:
+            state = saved(state)
+    return state
 
 
 def _ids(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -146,11 +172,15 @@ def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], *(got.column(c).to_numpy().astype(float)[order] for c in ("ordinary", "toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: int = 1 << 17, pairs_size: int = 1 << 18, calibrate: int = 2000) -> Model | None:
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
+def train(docs: DataFrame, labels: DataFrame, rare: int = 15, slice_pairs: int = 1 << 22, calibrate: int = 2000) -> Model | None:
     """The model of all labelled rows that are not held out; None unless both classes occur.
 
-    `vocabulary_size` and `pairs_size` bound the model: the most frequent words and bigrams are its own expressions, all
-    others are covered by the rare word and by backoff.
+    Words and bigrams in under `rare` documents are covered by prefixes, the rare word and backoff. A slice of the
+    bigrams that goes to the tasks has about `slice_pairs`.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out())
@@ -180,8 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
     counted = rows.where(~_aside())
     single = saved(_counted(counted, np.ravel))
     both = F.col("ordinary") + F.col("toxic")
-    vocabulary, _, _ = _table(single.where(both >= rare).orderBy(both.desc(), "key").limit(vocabulary_size))
+    vocabulary, _, _ = _table(single.where(both >= rare))
     size = len(vocabulary) + 1
+    if size >= NONE:
+        raise ValueError("more words than ids")
 
     def bigrams(h):
         w = _ids(vocabulary, h)
@@ -191,18 +223,18 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
     left, right = F.shiftright("key", BITS), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
     own_o, own_t, spread = np.zeros(size), np.zeros(size), np.zeros(size)
     single = pairs.where(left == NONE).select(right.alias("w"), "ordinary", "toxic")
-    for w, o, t in single.collect():  # at most vocabulary_size + 1 rows
-        own_o[w], own_t[w] = o, t
+    w, o, t = _columns(single)  # a row a word of the vocabulary, as the next two
+    own_o[w], own_t[w] = o, t
     pairs = pairs.where(left != NONE)
-    for w, n in pairs.groupBy(right.alias("w")).count().collect():  # at most vocabulary_size + 1 rows
-        spread[w] = n
+    w, n = _columns(pairs.groupBy(right.alias("w")).count())
+    spread[w] = n
     documents = {r[0]: r[1] for r in counted.groupBy("toxic").count().collect()}
     fewest = max(1, min(documents.values()))
     cut_o, cut_t = (DISCOUNT * documents.get(y, 1) / fewest for y in (0, 1))
     kept = lambda column, cut: F.sum(F.greatest(F.col(column) - cut, F.lit(0.0)))
     heads = np.zeros((3, size))
-    for v, *x in pairs.groupBy(left.alias("v")).agg(kept("ordinary", cut_o), kept("toxic", cut_t), F.sum(both)).collect():  # as many
-        heads[:, v] = x
+    v, *x = _columns(pairs.groupBy(left.alias("v")).agg(kept("ordinary", cut_o), kept("toxic", cut_t), F.sum(both)))
+    heads[:, v] = x
     shared = (spread + 1e-3) / (spread.sum() + 1e-3 * size)
     left_o, left_t = np.maximum(own_o - cut_o, 0), np.maximum(own_t - cut_t, 0)
     back = 1 - (left_o.sum() + left_t.sum()) / max((own_o + own_t).sum(), 1)
@@ -211,24 +243,29 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
     word = np.log(p_t) - np.log(p_o)
     word[0] = 0.0  # what is rare in both says nothing
     word[_by_chance(own_o, own_t, documents)] = 0.0
-    code, b_o, b_t = _table(pairs.where((both >= rare) & (right != 0)).orderBy(both.desc(), "key").limit(pairs_size))
-    code = code.view(np.int64)
-    v, w = code >> BITS, code & ((1 << BITS) - 1)
-    keep = (heads[0][v] >= rare) & (heads[1][v] >= rare) & ~_by_chance(b_o, b_t, documents)
-    code, v, w, b_o, b_t = code[keep], v[keep], w[keep], b_o[keep], b_t[keep]
-    back_v = np.clip(1 - (heads[0][v] + heads[1][v]) / np.maximum(heads[2][v], 1), 1e-3, 1.0)
-    ratio = np.log((1 - back_v) * np.maximum(b_t - cut_t, 0) / heads[1][v] + back_v * p_t[w]) - np.log((1 - back_v) * np.maximum(b_o - cut_o, 0) / heads[0][v] + back_v * p_o[w])
-    model = Model(vocabulary, word, code, ratio)
-    rate = F.when(F.col("toxic") == 1, min(1.0, calibrate / sizes[1])).otherwise(min(1.0, calibrate / sizes[0]))
-    sample = rows.where(_aside() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)))
 
-    def measure(batches):
+    def unlike(batches):
         for b in batches:
-            for piece, buf, offs in slices(b, "text"):
-                llr, n = model.sums(*hashed(buf, offs))
-                yield pa.record_batch([pa.array(llr), pa.array(n.astype(np.int64)), piece.column("toxic")], names=["llr", "n", "toxic"])
-
-    got = sample.select("text", "toxic").mapInArrow(measure, "llr double, n long, toxic long").toArrow()
+            o, t = (b.column(c).to_numpy().astype(float) for c in ("ordinary", "toxic"))
+            yield b.filter(pa.array(~_by_chance(o, t, documents)))
+
+    own = saved(pairs.where((both >= rare) & (right != 0)).mapInArrow(unlike, pairs.schema))
+    parts = max(1, -(-own.count() // slice_pairs))
+
+    def fetch(k):
+        """Codes in ascending order and log-ratios of a slice, about slice_pairs of them."""
+        code, b_o, b_t = _table(own.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k))
+        code = code.view(np.int64)
+        v, w = code >> BITS, code & ((1 << BITS) - 1)
+        keep = (heads[0][v] >= rare) & (heads[1][v] >= rare)
+        code, v, w, b_o, b_t = code[keep], v[keep], w[keep], b_o[keep], b_t[keep]
+        back_v = np.clip(1 - (heads[0][v] + heads[1][v]) / np.maximum(heads[2][v], 1), 1e-3, 1.0)
+        return code, np.log((1 - back_v) * np.maximum(b_t - cut_t, 0) / heads[1][v] + back_v * p_t[w]) - np.log((1 - back_v) * np.maximum(b_o - cut_o, 0) / heads[0][v] + back_v * p_o[w])
+
+    model = Model(vocabulary, word, parts, fetch)
+    rate = F.when(F.col("toxic") == 1, min(1.0, calibrate / sizes[1])).otherwise(min(1.0, calibrate / sizes[0]))
+    sample = rows.where(_aside() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)))
+    got = _summed(sample, ["toxic"], model).toArrow()
     llr, n, y = (got.column(c).to_numpy().astype(float) for c in ("llr", "n", "toxic"))
     n = np.maximum(n, 1)
     x = np.stack([llr / n, llr / np.sqrt(n), np.ones(len(n))], 1)
@@ -238,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, vocabulary_size: i
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3)
         beta += np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-3 * beta), -5, 5)
-    model.a, model.b, model.c = beta
+    model.a, model.b, model.c = beta.tolist()
     return model
 
 
@@ -249,10 +286,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     are 0. Repeated rows and null ids keep a row each; labels, lang, source and doc_id never enter a score.
     """
 
-    def run(batches):
-        for b in batches:
-            for piece, buf, offs in slices(b, "text"):
-                s = model.score(*model.sums(*hashed(buf, offs))) if model else np.zeros(piece.num_rows)
-                yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    if model is None:
+        return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    n = F.greatest("n", F.lit(1))
+    z = model.a * F.col("llr") / n + model.b * F.col("llr") / F.sqrt(n) + model.c
+    s = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return _summed(rows, ["doc_id", "held_out"], model).select("doc_id", "held_out", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))

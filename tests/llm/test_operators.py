@@ -342,6 +342,36 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.train(docs, lab.where("toxic = 0"))).where("score > 0").isEmpty()
 
 
+def test_toxicity_keeps_every_expression_over_the_threshold(spark):
+    rng = random.Random(15)
+    words = ["w%06d" % i for i in range(140_000)]
+    data, labels = [], []
+    for i in range(40):
+        w = words[i % 4 :: 4]
+        rng.shuffle(w)
+        data.append((i, " ".join(w)))
+        labels.append((i, int(i >= 20)))
+    docs, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert len(toxicity.train(docs, lab, rare=2).vocabulary) > 1 << 17
+
+
+def test_toxicity_does_not_depend_on_slices_of_bigrams(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    data, labels = [], []
+    for i in range(600):
+        w = [rng.choice(words) for _ in range(40)]
+        toxic = i % 2
+        data.append((i, " ".join([*w[:20], *(("gr%d zz%d" % (k, (k + toxic) % 6)) for k in range(6)), *w[20:]])))
+        labels.append((i, toxic))
+    docs, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, many = (toxicity.train(docs, lab, slice_pairs=n) for n in (1 << 22, 3))
+    assert one.parts == 1 and many.parts > 1 and len(one.fetch(0)[0])
+    a, b = ({r.doc_id: r.score for r in toxicity.score(docs, m).collect()} for m in (one, many))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+    assert all((a[i] > 0.5) == bool(y) for i, y in labels)
+
+
 def test_quality(spark):
     rng = random.Random(14)
     good = lambda: " ".join(rng.choice(["the", "of", "and", "report", "market", "price", "series", "long,", "short."]) for _ in range(80))
