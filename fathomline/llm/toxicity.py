@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Words are lower-cased runs of letters and digits. An expression counts once in a document, in learning and in scoring,
-so that a text that repeats itself does not stand for many, and of copies (texts with equal minimum over the hashes of
-their three-word runs) one is learned from. Counts over all labelled rows to learn from give, for each class c,
+so that a text that repeats itself does not stand for many, and of copies (equal texts with the same label) one is
+learned from. Counts over all labelled rows to learn from give, for each class c,
 
     P_c(w | v) = (1 - B(v)) * max(n_c(v w) - D_c, 0) / kept_c(v) + B(v) * P_c(w)
     P_c(w)     = (1 - B) * max(n_c(w) - D_c, 0) / kept_c + B * K(w)
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, hash_spans, held_out, ngrams, saved, slices, squeezed, words
+from .common import LOWER, hash_spans, held_out, saved, slices, squeezed, words
 
 _CHAR = np.zeros(256, bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -185,14 +185,6 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, slice_pairs: int =
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & ~held_out())
 
-    def key_of(batches):
-        for b in batches:
-            for piece, buf, offs in slices(b, "text"):
-                h, at = hashed(buf, offs)
-                g = ngrams(h[0], 3)
-                key = [int(g[a : z - 2].min()) if z - a > 2 else int(h[0, a:z].sum(dtype=np.uint64)) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.record_batch([piece.column("doc_id"), pa.array(np.array(key, np.uint64).view(np.int64))], names=["doc_id", "key"])
-
     def open_(batches):
         import zstandard
 
@@ -201,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, slice_pairs: int =
             yield pa.record_batch([b.column("doc_id"), pa.array([unpack(x).decode() for x in b.column("packed").to_pylist()], pa.string()), b.column("toxic")], names=["doc_id", "text", "toxic"])
 
     # one of each group of copies is chosen by keys alone, so that texts are moved once
-    keys = rest.mapInArrow(key_of, "doc_id long, key long").join(known, "doc_id")
-    one = keys.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("x")).select("x.*").distinct()
+    keys = rest.select("doc_id", F.md5(F.col("text").cast("binary")).alias("key")).join(known, "doc_id")
+    one = keys.groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
     rows = saved(squeezed(rest).join(one, "doc_id").mapInArrow(open_, "doc_id long, text string, toxic long"))
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:

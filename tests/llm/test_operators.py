@@ -355,6 +355,29 @@ def test_toxicity_keeps_every_expression_over_the_threshold(spark):
     assert len(toxicity.train(docs, lab, rare=2).vocabulary) > 1 << 17
 
 
+def test_toxicity_learns_from_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts with one shared passage are no copies, and a toxic copy of an ordinary text is learned from."""
+    rng = random.Random(17)
+    passage = " ".join("licence%d" % i for i in range(400))
+    data = [(i, "%s %s" % (passage, " ".join("v%d" % rng.randrange(10**6) for _ in range(3)))) for i in range(100)]
+    labels = [(i, i % 2) for i in range(100)]
+    data += [(1000 + i, "same text") for i in range(40)]
+    labels += [(1000 + i, i % 2) for i in range(40)]
+    seen = []
+
+    def kept(df, saved=toxicity.saved):
+        out = saved(df)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(toxicity, "saved", kept)
+    toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = {(r.doc_id, r.toxic) for r in seen[0].select("doc_id", "toxic").collect()}
+    held = lambda i: common.crc_of_id(i) % 5 == 0
+    assert {x for x in rows if x[0] < 1000} == {x for x in labels if x[0] < 1000 and not held(x[0])}
+    assert sorted(y for i, y in rows if i >= 1000) == [0, 1]
+
+
 def test_toxicity_does_not_depend_on_slices_of_bigrams(spark):
     rng = random.Random(16)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
