@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores the candidates.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores the candidates.
 
 Words are lower-cased runs of letters and digits. Every run of `seed` words of an item is a seed. One pass over all
-documents finds the places of all seeds; how many documents hold each seed is counted over the whole corpus, and common
-seeds go: those in more documents than both `rare` of the corpus and four times the median of the item's own seeds (so
-that an item which itself leaked into many documents keeps its seeds). Passages around the seeds that are left are
-aligned with the item; the score is the best local alignment's share of a perfect one.
+documents finds the places of all seeds. The passages around them are aligned with the item, however many documents hold
+a seed, so that no group of copies hides itself; only a passage that shares too few words with the item to reach the
+threshold is not aligned. The score is the best local alignment's share of a perfect one.
 
 Test items are taken in slices of at most `slice_items`, so that what goes to every task is bounded; a larger benchmark
 takes more passes.
@@ -48,6 +47,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def shared_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """Number of words that both have (with repeats): no alignment has more matches."""
+    w, n = np.unique(item, return_counts=True)
+    passage = np.sort(passage)
+    return int(np.minimum(n, np.searchsorted(passage, w, "right") - np.searchsorted(passage, w, "left")).sum())
+
+
 class Seeds:
     """The seeds of a slice of items, sorted, with the items and places they come from."""
 
@@ -85,7 +91,7 @@ class Seeds:
         return (np.concatenate(place), np.concatenate(which)) if place else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _slice(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, seed: int, rare: float, threshold: float) -> DataFrame:
+def _slice(docs: DataFrame, items: list[tuple[int, str]], seed: int, threshold: float) -> DataFrame:
     seeds = Seeds(items, seed)
 
     def search(batches):
@@ -103,36 +109,26 @@ def _slice(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, seed: int
                 new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[1:])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(place)) - 1 if len(first) else first
-                out_item, out_start, out_words, out_seeds = [], [], [], []
+                out_item, out_start, out_words = [], [], []
                 for a, z in zip(first.tolist(), last.tolist(), strict=True):
                     length = len(seeds.words[item[a]])
                     lo, hi = max(at[row[a]], place[a] - length - 4), min(at[row[a] + 1], place[z] + length + 4)
                     out_item.append(int(item[a]))
                     out_start.append(int(lo - at[row[a]]))
                     out_words.append(h[lo:hi].tobytes())
-                    out_seeds.append(np.unique(which[a : z + 1]).astype(np.int32))
-                cols = [piece.column("doc_id").take(pa.array(row[first])), pa.array(out_item, pa.int32()), pa.array(out_start, pa.int64()), pa.array(out_words, pa.binary()), pa.array(out_seeds, pa.list_(pa.int32()))]
-                yield pa.record_batch(cols, names=["doc_id", "item", "start", "words", "seeds"])
-
-    hits = saved(docs.mapInArrow(search, "doc_id long, item int, start long, words binary, seeds array<int>"))
-    df = np.zeros(len(seeds.key))
-    for k, n in hits.select("doc_id", F.explode("seeds").alias("k")).groupBy("k").agg(F.count("*")).collect():  # bounded by the slice's seeds
-        df[k] = n
-    limit = np.full(len(seeds.words), rare * n_docs + 1)
-    for k in range(len(seeds.words)):
-        own = df[seeds.item == k]
-        if len(own):
-            limit[k] = max(limit[k], 4 * np.median(own))
-    is_rare = df <= limit[seeds.item] if len(df) else np.zeros(0, bool)
+                cols = [piece.column("doc_id").take(pa.array(row[first])), pa.array(out_item, pa.int32()), pa.array(out_start, pa.int64()), pa.array(out_words, pa.binary())]
+                yield pa.record_batch(cols, names=["doc_id", "item", "start", "words"])
+
+    hits = saved(docs.mapInArrow(search, "doc_id long, item int, start long, words binary"))
 
     def score(batches):
         for b in batches:
             out: list = []
-            for doc, k, start, data, which in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item", "start", "words", "seeds")), strict=True):
-                if not is_rare[which].any():
+            for doc, k, start, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item", "start", "words")), strict=True):
+                item, passage = seeds.words[k], np.frombuffer(data, np.uint64)
+                if shared_words(item, passage) < threshold * len(item):
                     continue
-                item = seeds.words[k]
-                best, end = align(item, np.frombuffer(data, np.uint64))
+                best, end = align(item, passage)
                 if best >= threshold * MATCH * len(item):
                     out.append((doc, seeds.ids[k], best / (MATCH * len(item)), start + end))
             cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -141,7 +137,7 @@ def _slice(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, seed: int
     return hits.repartition(F.xxhash64("doc_id", "item", "start")).mapInArrow(score, "doc_id long, item_id long, score double, end long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, rare: float = 1e-4, threshold: float = 0.5, slice_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = 0.5, slice_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, n_passages, end_word) of documents that hold a copy, exact or edited, of a test item.
 
     score: best alignment's share of a perfect one (1: word for word); end_word: the word after its end. Null or empty
@@ -152,12 +148,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, rare:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10ffff}]")).distinct()
     n_items = items.count()
     parts = -(-n_items // slice_items)
-    n_docs = docs.count() if parts else 0
     out = None
     for k in range(parts):
         mine = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]  # about slice_items rows
         if mine:
-            got = _slice(docs, sorted(mine, key=lambda r: (r[0] is None, r)), n_docs, seed, rare, threshold)
+            got = _slice(docs, sorted(mine, key=lambda r: (r[0] is None, r)), seed, threshold)
             out = got if out is None else out.unionByName(got)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, n_passages long, end_word long")

@@ -267,6 +267,28 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): r.score for r in sliced} == got
 
 
+def test_decontamination_of_many_copies_of_an_edited_item(spark):
+    """A fifth of the words replaced leaves under half of the seeds; a group of such copies is found like a single one."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    edited = [word() if j % 5 in (0, 2) and j > 14 else w for j, w in enumerate(item)]
+    seeds = lambda w: {tuple(w[i : i + 4]) for i in range(37)}
+    assert len(seeds(item) & seeds(edited)) < 37 / 2
+    data = [(i, " ".join([word() for _ in range(20)] + edited + [word() for _ in range(20)])) for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(data + [(99, "none of it")], "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in got} == set(range(30)) and all(0.5 < r.score < 1 for r in got)
+    assert decontamination.contaminated(spark.createDataFrame(data[:1], "doc_id long, text string"), bench).first().score == min(r.score for r in got)
+
+
+def test_shared_words_bound_the_alignment():
+    rng = np.random.default_rng(19)
+    for _ in range(30):
+        a, b = rng.integers(0, 6, 12).astype(np.uint64), rng.integers(0, 6, 20).astype(np.uint64)
+        assert decontamination.align(a, b)[0] <= decontamination.MATCH * decontamination.shared_words(a, b)
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(10)
     for _ in range(30):
