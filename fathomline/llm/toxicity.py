@@ -14,7 +14,7 @@ and the same share of the larger one. An expression whose classes differ by no m
 or by less than a factor of four is scored by shared counts, too, and so adds nothing. Words that both classes together have in fewer than `rare` documents back off to
 their longest known prefix (PREFIXES, in bytes) and else to one rare word. A text's log-likelihood ratio per distinct
 bigram (and per square root of their number) goes through a logistic calibration fitted on about `calibrate` rows of
-each class (the documented bound) of a quarter of the rows to learn from, which the counts leave out.
+each class (the documented bound; at most a quarter of the class), which the counts leave out.
 
 Every word and bigram in at least `rare` documents is an expression of the model, which so grows with the corpus. The
 words go to every task, as words must be known before bigrams can be looked up; the bigrams stay in a table and go to
@@ -132,8 +132,10 @@ def _by_chance(o: np.ndarray, t: np.ndarray, documents: dict[int, int], sigmas:
     return (np.abs(a - b) < sigmas * np.sqrt(q * (1 - q) * (1 / n_o + 1 / n_t))) | (np.maximum(a, b) < factor * np.minimum(a, b))
 
 
-def _aside():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+def _aside(sizes: dict[int, int], calibrate: int):
+    """Rows for the calibration: about `calibrate` of each class, but not over a quarter of it."""
+    rate = F.when(F.col("toxic") == 1, min(0.25, calibrate / sizes[1])).otherwise(min(0.25, calibrate / sizes[0]))
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)
 
 
 def _counted(rows: DataFrame, keys_of) -> DataFrame:
@@ -199,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, slice_pairs: int =
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    counted = rows.where(~_aside())
+    aside = _aside(sizes, calibrate)
+    counted = rows.where(~aside)
     single = saved(_counted(counted, np.ravel))
     both = F.col("ordinary") + F.col("toxic")
     vocabulary, _, _ = _table(single.where(both >= rare))
@@ -255,9 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, rare: int = 15, slice_pairs: int =
         return code, np.log((1 - back_v) * np.maximum(b_t - cut_t, 0) / heads[1][v] + back_v * p_t[w]) - np.log((1 - back_v) * np.maximum(b_o - cut_o, 0) / heads[0][v] + back_v * p_o[w])
 
     model = Model(vocabulary, word, parts, fetch)
-    rate = F.when(F.col("toxic") == 1, min(1.0, calibrate / sizes[1])).otherwise(min(1.0, calibrate / sizes[0]))
-    sample = rows.where(_aside() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)))
-    got = _summed(sample, ["toxic"], model).toArrow()
+    got = _summed(rows.where(aside), ["toxic"], model).toArrow()
     llr, n, y = (got.column(c).to_numpy().astype(float) for c in ("llr", "n", "toxic"))
     n = np.maximum(n, 1)
     x = np.stack([llr / n, llr / np.sqrt(n), np.ones(len(n))], 1)

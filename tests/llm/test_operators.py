@@ -400,6 +400,16 @@ def test_toxicity_learns_from_texts_that_share_a_passage(spark, monkeypatch):
     assert sorted(y for i, y in rows if i >= 1000) == [0, 1]
 
 
+def test_toxicity_sets_aside_no_more_than_the_calibration_reads(spark, monkeypatch):
+    data = [(i, "%s t%d" % ("bad" if i % 2 else "good", i)) for i in range(4000)]
+    labels = [(i, i % 2) for i in range(4000)]
+    seen = []
+    monkeypatch.setattr(toxicity, "_counted", lambda rows, keys_of, counted=toxicity._counted: seen.append(rows) or counted(rows, keys_of))
+    toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), calibrate=100)
+    learning = sum(common.crc_of_id(i) % 5 > 0 for i in range(4000))
+    assert learning - 260 < seen[0].count() < learning - 140
+
+
 def test_toxicity_does_not_depend_on_slices_of_bigrams(spark):
     rng = random.Random(16)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
