@@ -71,16 +71,22 @@ def addis(p: np.ndarray, alpha: float = 0.05, tau: float = 0.5, lam: float = 0.2
     w0 = alpha / 2
     kept = np.cumsum(p <= tau)
     cand = np.cumsum((p <= tau) & (p / tau <= lam))
-    rejections: list[int] = []
+    # a rejection's payment depends only on how many tests were paid for since; the sum is taken anew when that changes
+    paid = np.concatenate([[0], kept - cand])
+    pays = np.zeros(n + 1)  # by the number of tests paid for before
+    pays[0] = w0
+    first, at, total = True, 0, w0 * gamma[0]
     for t in range(n):
-        s, c = (kept[t - 1], cand[t - 1]) if t else (0, 0)
-        total = w0 * gamma[s - c]
-        for k, r in enumerate(rejections):
-            pay = alpha - w0 if k == 0 else alpha
-            total += pay * gamma[(s - kept[r]) - (c - cand[r])]
-        out[t] = min(tau * lam, (tau - lam * tau) * total / 1.0)
+        if paid[t] != at:
+            at = paid[t]
+            total = float(pays[: at + 1] @ gamma[at::-1])
+        out[t] = min(tau * lam, (tau - lam * tau) * total)
         if p[t] <= out[t]:
-            rejections.append(t)
+            pay = alpha - w0 if first else alpha
+            first = False
+            pays[paid[t + 1]] += pay
+            if paid[t + 1] == at:
+                total += pay * gamma[0]
     return out
 
 

@@ -19,7 +19,7 @@ def _on(body, then):
 
 QUERIES = {
     "snooping_report": _on("SELECT 'all' AS g, symbol, ts, r FROM small", lambda d: kernels.snooping_report(d, "g", "ts", "symbol", "r", draws=200)),
-    "online_fdr": _on("SELECT event_type AS g, event_id, exp(-value / 10) AS p FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-07'", lambda d: kernels.online_fdr(d, "g", ["event_id"], "p")),
+    "online_fdr": _on("SELECT event_type AS g, event_id, exp(-value / 10) AS p FROM events", lambda d: kernels.online_fdr(d, "g", ["event_id"], "p")),
     "hurst_dfa_and_wavelet_energy": _on("SELECT symbol, ts, r FROM small", lambda d: kernels.by_series(d, "symbol", "ts", "r")),
     "asof_join": _on("SELECT symbol, ts, close FROM hourly", lambda d: joins.asof(d, d.groupBy("symbol", F.date_trunc("day", "ts").alias("ts")).agg(F.sum("close").alias("coarse")), ["symbol"], "ts", "coarse", 1)),
     "islands": _on("SELECT symbol, d FROM flags", lambda d: joins.islands(d, ["symbol"], "d", 2)),

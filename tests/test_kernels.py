@@ -37,6 +37,26 @@ def test_online_levels():
     assert (level > 0).all() and level[1] > level[0] * 0.5
 
 
+def test_online_levels_by_the_sum_over_all_rejections():
+    p = np.random.default_rng(4).random(3000) ** 4
+    gamma = np.arange(1, 3002) ** -1.6 / (np.arange(1, 100_001) ** -1.6).sum()
+    paid, rejected = np.concatenate([[0], np.cumsum((p <= 0.5) & (p > 0.125))]), []
+    want = []
+    for t, x in enumerate(p):
+        total = 0.025 * gamma[paid[t]] + sum((0.025 if k == 0 else 0.05) * gamma[paid[t] - paid[r + 1]] for k, r in enumerate(rejected))
+        want.append(min(0.125, 0.375 * total))
+        if x <= want[-1]:
+            rejected.append(t)
+    assert len(rejected) > 100 and np.allclose(kernels.addis(p), want, rtol=1e-9)
+
+
+def test_online_replay_takes_all_events(spark):
+    from fathomline.plans.kernels import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    assert QUERIES["online_fdr"](spark, data).count() == spark.read.parquet(f"{data}/events.parquet").count()
+
+
 def test_fluctuations_and_drawdowns():
     assert kernels.dfa(np.random.default_rng(3).normal(size=4000)) == pytest.approx(0.5, abs=0.08)
     assert kernels.simulated_drawdown(0, 1, 100, 2000, 1) == pytest.approx(math.sqrt(math.pi / 2) * 10, rel=0.15)
