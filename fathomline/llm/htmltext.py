@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 # Element names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav header footer aside form menu button select textarea dialog noscript template svg iframe object head title figure label fieldset".split())
+FURNITURE = frozenset("nav header footer aside form menu button select textarea dialog noscript template svg iframe object head title label fieldset".split())
 RAW = frozenset("script style noscript template svg iframe object textarea title".split())
 CLOSES_P = BLOCKS - {"body", "html", "option", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"}
 #: Words in class, id and role attributes that mark furniture.

@@ -209,6 +209,11 @@ def test_html_without_an_article_keeps_the_dense_blocks():
     assert html.unescape("&amp;") in htmltext.main_text("<p>" + "x &amp; y " * 20 + "</p>")
 
 
+def test_html_keeps_captions_inside_the_article():
+    page = "<body><nav>Menu</nav><article><p>Some text here.</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article></body>"
+    assert htmltext.main_text(page).split() == "Some text here. A caption.".split()
+
+
 def brute_capacity(sizes, shards):
     c = max(sizes)
     while len(sharding.greedy(sizes, c)) > shards:
