@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MASK = (1 << 64) - 1
@@ -23,29 +23,16 @@ _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1 << 17
-
-
 def coefficients(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers, the same on every machine."""
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 _NGRAM = coefficients(64, 11)
-_POWERS = np.ones(256, np.uint64)
-_POWERS[1:] = np.uint64(_BASE)
-_POWERS = np.cumprod(_POWERS, dtype=np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        more = np.full(max(n, 2 * len(_POWERS)), _BASE, np.uint64)
-        more[0] = 1
-        _POWERS = np.cumprod(more, dtype=np.uint64)
-    return _POWERS
-
+_STEP = coefficients(2, 13)
+#: Masks of the first n of eight bytes, and the length of span in bytes beyond which xxh3 takes over.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
@@ -98,21 +85,20 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = _WORD):
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes (spans ascend, do not overlap and are not empty)."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        s, lens = starts[i:j] - lo, ends[i:j] - starts[i:j]
-        gaps = np.diff(s, append=hi - lo)
-        at = np.arange(hi - lo) - np.repeat(s, gaps)
-        longest = int(lens.max())
-        value = (buf[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers(longest)[np.minimum(at, longest - 1)]
-        value[at >= np.repeat(lens, gaps)] = 0
-        out[i:j] = np.add.reduceat(value, s)
-        i = j
-    return mix(out)
+    """A 64-bit hash of each span of bytes (no span may be empty), eight bytes a step; long spans by xxh3."""
+    lens = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix((eight[starts] & _FIRST[np.minimum(lens, 8)]) + lens.astype(np.uint64) * _STEP[0])
+    for k in range(8, _LONG, 8):
+        more = np.flatnonzero(lens > k)
+        if not len(more):
+            break
+        part = eight[starts[more] + k] & _FIRST[np.minimum(lens[more] - k, 8)]
+        out[more] = mix(out[more] * _STEP[1] + part)
+    for i in np.flatnonzero(lens > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed=_LONG)
+    return out
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -136,10 +122,6 @@ def within(word_offs: np.ndarray, n: int) -> np.ndarray:
     return ok
 
 
-def crc_of_id(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
 def held_out(column="doc_id"):
     """Rows kept away from learning: crc32 of the id as text, mod 5, is 0 (null ids count as the text '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -147,15 +129,17 @@ def held_out(column="doc_id"):
 
 # ---- tables in the shared folder ---------------------------------------------------------------
 
-_made: list = []
+#: Path of each saved table that is still there: its session.
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; set to a local one only where none is named."""
+    """The cluster's folder for checkpoints. Only a local session, whose executors are this machine, may do without one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
@@ -166,16 +150,40 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(_sweep)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    _made[path] = spark
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes saved tables from which everything has been made (and saved) that was to be made."""
+    for df in tables:
+        _remove(_made.pop(df.saved_at), df.saved_at)
+
+
+def numbered(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(docs with a long column `row` that tells rows apart, (row, id) or None if `row` is the id itself).
+
+    Ids that are unique and not null serve as they are. Else rows get numbers, in a table that keeps them if a task runs
+    again, and the second frame leads back from the numbers to the ids.
+    """
+    ids = docs.select(F.col(id_column).cast("long").alias("row"))
+    if ids.groupBy("row").count().where("count > 1 or row is null").isEmpty():
+        return docs.withColumn("row", F.col(id_column).cast("long")), None
+    docs = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    return docs, docs.select("row", F.col(id_column).cast("long").alias(id_column))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _sweep() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already; the folder is scratch space
             pass
 
@@ -184,14 +192,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def squeezed(df: DataFrame) -> DataFrame:
-    """(doc_id, text) with the text compressed, for shuffles of whole texts. Null texts stay null."""
+#: Bits of a filter of rows; 4 MB, whatever it holds.
+_FILTER_BITS = 25
+
+
+def row_filter(rows: DataFrame, key: str) -> np.ndarray:
+    """Bits, by the hash of a row's key, of all keys that occur. A filter of fixed size: with more keys it lets more of
+    the others through, and never holds one back that occurs."""
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << _FILTER_BITS)) + 1
+    parts = rows.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(1 << _FILTER_BITS - 3, np.uint8)
+    for at, bits in parts.collect():  # at most 2 ** (_FILTER_BITS - 15) rows of 4 KB
+        out[(at - 1) << 12 : at << 12] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def squeezed(df: DataFrame, key: str = "doc_id", some: np.ndarray | None = None) -> DataFrame:
+    """(key, text) with the text compressed, for shuffles of whole texts; only rows that a row_filter lets through, if one
+    is given. Null texts stay null."""
     import zstandard
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
+            if some is not None:
+                slot = b.column("slot").to_numpy()
+                b = b.filter(pa.array(some[slot >> 3] >> (slot & 7) & 1 == 1))
             texts = [None if t is None else pack(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+            yield pa.record_batch([b.column(key), pa.array(texts, pa.binary())], names=[key, "packed"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    slot = [] if some is None else [F.pmod(F.xxhash64(key), F.lit(1 << _FILTER_BITS)).alias("slot")]
+    return df.select(key, "text", *slot).mapInArrow(run, f"{key} long, packed binary")
