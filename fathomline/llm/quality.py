@@ -180,13 +180,16 @@ def train(docs: DataFrame, per_class: int = 3000) -> tuple[WeakLabels, Scorer]:
     return weak, Scorer().fit([(np.array(a, np.int64), np.array(x), y) for a, x, y in data])
 
 
+NAMES = ("quality_posterior", "quality_score", "quality_keep")
+
+
 def classify(docs: DataFrame, per_class: int = 3000) -> DataFrame:
     """docs with more columns: quality_posterior (weak label), quality_score (of the scorer), quality_keep (score >= 0.5).
 
     A text without words scores 0 and is rejected. Null ids, repeated rows and other columns pass through as they are
     (columns of these three names are replaced).
     """
-    names = ("quality_posterior", "quality_score", "quality_keep")
+    names = NAMES
     docs = docs.drop(*names)
     weak, scorer = train(docs, per_class)
     w, bias = scorer.w, scorer.bias

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coefficients, hash_spans, mix, ngrams, saved, slices, squeezed, within, words
+from .common import coefficients, discard, hash_spans, mix, ngrams, numbered, saved, slices, squeezed, within, words
 
 WIDTH, ANCHOR, SHARD_SEGMENTS = 35, 8, 1000
 
@@ -149,9 +149,9 @@ class Automaton:
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
-    """(doc_id, row, lo, bits): windows that start at word lo + i of a document, for each bit i, occur elsewhere too.
+    """(row, lo, bits): windows that start at word lo + i of a document, for each bit i, occur elsewhere too.
 
-    docs: (row long, unique; text; and anything else). `row` tells documents apart, whatever their ids.
+    docs: (row long, unique; text; and anything else).
     """
     if width - anchor + 1 > 60:
         raise ValueError("width - anchor must be under 60")
@@ -160,15 +160,18 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         for b in batches:
             for piece, buf, offs in slices(b, "text"):
                 a, s, row, lo, n, place = segments(buf, offs, width, anchor)
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), piece.column("doc_id").take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16))], names=["anchor", "seg", "doc_id", "lo", "n", "place"])
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), piece.column("row").take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16))], names=["anchor", "seg", "row", "lo", "n", "place"])
 
-    found = saved(docs.select("doc_id", "text").mapInArrow(anchors, "anchor long, seg long, doc_id long, lo int, n short, place short"))
-    twice = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    found = saved(docs.select("row", "text").mapInArrow(anchors, "anchor long, seg long, row long, lo int, n short, place short"))
+    # tables on the one side of a join are saved first, so that a hot anchor on the other side can be split
+    twice = saved(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     occurrences = saved(found.join(twice, "anchor"))
-    distinct = occurrences.groupBy("anchor", "seg", "n", "place").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "lo")).alias("at"))
-    crowd = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
-    distinct = distinct.join(crowd, "anchor").select("anchor", "seg", "n", "place", "times", (F.col("k") > shard_segments).alias("hot"), "at.doc_id", "at.lo")
-    by_doc = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "n", "place", "times", "hot", "lo")).alias("want"))
+    discard(found, twice)
+    distinct = occurrences.groupBy("anchor", "seg", "n", "place").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"))
+    distinct = saved(distinct)
+    crowd = saved(distinct.groupBy("anchor").agg(F.count("*").alias("k")))
+    distinct = distinct.join(crowd, "anchor").select("anchor", "seg", "n", "place", "times", (F.col("k") > shard_segments).alias("hot"), "at.row", "at.lo")
+    by_doc = distinct.groupBy("row").agg(F.collect_list(F.struct("anchor", "seg", "n", "place", "times", "hot", "lo")).alias("want"))
     fetched = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int16()), ("place", pa.int16()), ("times", pa.int64()), ("hot", pa.bool_()), ("words", pa.binary())])
 
     def fetch(batches):
@@ -182,7 +185,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 out += [(x["anchor"], x["seg"], x["n"], x["place"], x["times"], x["hot"], b" ".join(w[x["lo"] : x["lo"] + x["n"] + width - 1])) for x in want]
             yield _batch(out, fetched)
 
-    shards = saved(squeezed(docs).join(by_doc, "doc_id").select("packed", "want").mapInArrow(fetch, "anchor long, seg long, n short, place short, times long, hot boolean, words binary"))
+    shards = saved(squeezed(docs, "row").join(by_doc, "row").select("packed", "want").mapInArrow(fetch, "anchor long, seg long, n short, place short, times long, hot boolean, words binary"))
     masked = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("bits", pa.int64())])
 
     def stream(batches):
@@ -243,7 +246,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         crowded = parts.where(~one & (F.col("k") > shard_segments))
     if more:
         masks = masks.unionByName(functools.reduce(DataFrame.unionByName, more).groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits")))
-    return occurrences.join(masks, ["anchor", "seg"]).select("doc_id", "lo", "bits")
+    return occurrences.join(masks, ["anchor", "seg"]).select("row", "lo", "bits")
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -264,20 +267,9 @@ def _covered(n: int, spans, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept_words(docs: DataFrame, width: int = WIDTH, **more) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) for each row of docs.
-
-    A word is removed when some window over it starts elsewhere too (in the same document as well), judged on the input.
-    Null texts have no words; repeated rows and null ids are documents of their own; an empty table gives no rows.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        named = rows.select(F.col("id").alias("doc_id"), "text")
-        ids = None
-    else:  # ids do not tell rows apart: number the rows, in a table that keeps the numbers if a task runs again
-        named = saved(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "id"))
-        ids = named.select("doc_id", "id")
-    spans = repeated_windows(named, width, **more).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "bits")).alias("spans"))
+def kept_by_row(docs: DataFrame, width: int = WIDTH, **more) -> DataFrame:
+    """row, n_words, n_removed, kept_sha256 and kept for each of docs (row long, unique; text; ...): see kept_words."""
+    spans = repeated_windows(docs, width, **more).groupBy("row").agg(F.collect_list(F.struct("lo", "bits")).alias("spans"))
 
     def run(batches):
         import zstandard
@@ -295,9 +287,20 @@ def kept_words(docs: DataFrame, width: int = WIDTH, **more) -> DataFrame:
                 left = b" ".join(w)
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode())
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.record_batch([b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return squeezed(docs, "row").join(spans, "row", "left").select("row", "packed", "spans").mapInArrow(run, "row long, n_words long, n_removed long, kept_sha256 string, kept string")
 
-    out = squeezed(named).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    if ids is not None:
-        out = out.join(ids, "doc_id").select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
-    return out
+
+def kept_words(docs: DataFrame, width: int = WIDTH, **more) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) for each row of docs.
+
+    A word is removed when some window over it starts elsewhere too (in the same document as well), judged on the input.
+    Null texts have no words; repeated rows and null ids are documents of their own; other columns are ignored; an empty
+    table gives no rows.
+    """
+    named, ids = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    out = kept_by_row(named, width, **more)
+    if ids is None:
+        return out.withColumnRenamed("row", "doc_id")
+    return out.join(ids, "row").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
