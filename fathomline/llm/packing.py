@@ -172,6 +172,8 @@ class Ids:
         heads[at[:-1][some]] = offs[:-1][some]
         h = hash_spans(buf, heads, ends) if len(starts) else np.empty(0, np.uint64)
         _, pick, of = np.unique(h, return_index=True, return_inverse=True)
+        for r in np.unique(np.searchsorted(at, unlike(buf, heads, ends, pick[of]), "right") - 1).tolist():
+            odd[r] = self.whole(texts[r])  # another unit has the same hash
         simple = (starts[pick] - heads[pick] == 1) & (buf[heads[pick]] == 32)
         flat, begin, sizes = self.units(data, heads[pick], ends[pick], simple)
         n = sizes[of]
@@ -191,6 +193,20 @@ class Ids:
         return out
 
 
+def unlike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Numbers of the spans whose bytes are not those of the span other[i]."""
+    lens = ends - starts
+    bad = [np.flatnonzero(lens != lens[other])]
+    same = np.flatnonzero((lens == lens[other]) & (other != np.arange(len(other))))
+    for lo in range(0, len(same), block):
+        i = same[lo : lo + block]
+        n = lens[i]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = buf[np.repeat(starts[i], n) + step] != buf[np.repeat(starts[other[i]], n) + step]
+        bad.append(np.unique(np.repeat(i, n)[differ]))
+    return np.concatenate(bad)
+
+
 _ids: dict[str, Ids] = {}
 
 
@@ -200,14 +216,15 @@ def tokeniser(path: str) -> Ids:
     return _ids[path]
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_rows: int = 2048, end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_rows: int = 2048, group_bytes: int = 24 << 20, end: int = END) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs: (doc_id, text, ...); each row is a document (null and empty texts are the id `end` alone), repeated rows and
-    null ids included; other columns are ignored; an empty table gives no rows. `group_rows`: about so many documents
-    are packed together in one task. sequence_id: group * 2 ** 32 + number in the group.
+    null ids included; other columns are ignored; an empty table gives no rows. About `group_rows`
+    documents, and not over about `group_bytes` bytes of text unless one text is longer, are packed together in a task. sequence_id: group * 2 ** 32 + number in the group.
     """
-    groups = max(1, -(-docs.count() // group_rows))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
+    groups = max(1, -(-n // group_rows), -(-size // group_bytes))
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("doc_id", "ascending"), ("order", "ascending")])
@@ -233,6 +250,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_rows:
         ]
         return pa.table(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    order = F.xxhash64("doc_id", "text")
+    order = F.xxhash64("doc_id", "text", F.pmod(F.monotonically_increasing_id(), F.lit(4096)))  # equal rows are dealt out, too
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order.alias("order"), F.pmod(order, F.lit(groups)).alias("grp"))
     return rows.groupBy("grp").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
