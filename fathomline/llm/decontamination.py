@@ -109,14 +109,17 @@ def _slice(docs: DataFrame, items: list[tuple[int, str]], seed: int, threshold:
                 new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > reach[1:])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(place)) - 1 if len(first) else first
-                out_item, out_start, out_words = [], [], []
+                out_row, out_item, out_start, out_words = [], [], [], []
                 for a, z in zip(first.tolist(), last.tolist(), strict=True):
                     length = len(seeds.words[item[a]])
                     lo, hi = max(at[row[a]], place[a] - length - 4), min(at[row[a] + 1], place[z] + length + 4)
+                    if shared_words(seeds.words[item[a]], h[lo:hi]) < threshold * length:
+                        continue  # no alignment can score enough
+                    out_row.append(int(row[a]))
                     out_item.append(int(item[a]))
                     out_start.append(int(lo - at[row[a]]))
                     out_words.append(h[lo:hi].tobytes())
-                cols = [piece.column("doc_id").take(pa.array(row[first])), pa.array(out_item, pa.int32()), pa.array(out_start, pa.int64()), pa.array(out_words, pa.binary())]
+                cols = [piece.column("doc_id").take(pa.array(out_row, pa.int64())), pa.array(out_item, pa.int32()), pa.array(out_start, pa.int64()), pa.array(out_words, pa.binary())]
                 yield pa.record_batch(cols, names=["doc_id", "item", "start", "words"])
 
     hits = saved(docs.mapInArrow(search, "doc_id long, item int, start long, words binary"))
@@ -125,10 +128,8 @@ def _slice(docs: DataFrame, items: list[tuple[int, str]], seed: int, threshold:
         for b in batches:
             out: list = []
             for doc, k, start, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item", "start", "words")), strict=True):
-                item, passage = seeds.words[k], np.frombuffer(data, np.uint64)
-                if shared_words(item, passage) < threshold * len(item):
-                    continue
-                best, end = align(item, passage)
+                item = seeds.words[k]
+                best, end = align(item, np.frombuffer(data, np.uint64))
                 if best >= threshold * MATCH * len(item):
                     out.append((doc, seeds.ids[k], best / (MATCH * len(item)), start + end))
             cols = list(zip(*out, strict=True)) or [[]] * 4
