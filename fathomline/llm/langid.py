@@ -8,8 +8,6 @@ language (the documented bound), and a temperature is fitted on a fifth of that
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,7 +18,6 @@ DIM_BITS = 15
 DIM = 1 << DIM_BITS
 ORDERS = (2, 3)
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
 #: About so many characters are handled at once (a longer text is handled whole).
 PIECE = 1 << 16
 
@@ -181,7 +178,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         columns = [np.append(table[:, k], np.float32(0)) for k in range(len(classes))] if model else []
         for b in batches:
             texts = b.column("text").to_pylist()
-            known = [t is not None and bool(_LETTER.search(t)) for t in texts]
+            known = [t is not None and any(map(str.isalpha, t)) for t in texts]  # Unicode letters, not numerals such as ½
             lang, score = np.full(len(texts), "und", object), np.array([0.0 if k else 1.0 for k in known])
             for i, j, got, starts in pieces(texts) if columns else ():
                 n = sum(np.add.reduceat(g < DIM, starts[:-1], dtype=np.int64) for g in got)
