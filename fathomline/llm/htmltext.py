@@ -1,16 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line per block element, sums of text lengths over sliding windows of lines give a curve, and
-the text between a surge of that curve and the next dive is kept. A line weighs its text length; lines of page
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), known from their elements or
-the names in their class, id and role attributes, weigh nothing and are never kept, lines inside an article or main
-element weigh more, and text in links weighs nothing. A page that marks its article keeps exactly the article's lines.
+Markup is stripped to one line per block element, sums of weights over sliding windows of lines give a curve, and the
+text between a surge of that curve and the next dive is kept. Lines of page furniture (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments), known from their elements or the names in their class, id and role
+attributes, are taken out with the markup, before the windows. A line weighs its letters outside links. Inside an
+article or main element it weighs `MARK` letters more. On a page with such elements, a line outside them weighs less,
+the larger the share s of all letters that they hold: (1 - s) times its letters less s times MARK, or nothing. So the
+curve falls to zero beyond an article that holds the text of its page, and stays up where the mark is on a mere teaser.
+
+The scan is linear in the length of a page, whatever is unclosed in it.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +30,68 @@ CLOSES_P = BLOCKS - {"body", "html", "option", "caption", "tr", "td", "th", "tbo
 #: Words in class, id and role attributes that mark furniture.
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer footer form header login menu masthead modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+WINDOW, SURGE, MARK = 3, 60, 40
+
+_EDGE = re.compile("[>\"']")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+@functools.cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(f"</{name}", re.I | re.A)
+
+
+def tokens(page: str):
+    """(kind, start, end, name, attributes) of all markup: kind "open", "close", "cdata" or "other".
+
+    A tag ends at the first > outside quotes. Where none comes any more, it and all later tags end at the next > of any
+    kind; without one, the rest of the page is text. A comment without an end takes the rest of the page.
+    """
+    at, last, quoted, sections = 0, page.rfind(">"), True, True
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield "other", at, end, "", ""
+        elif sections and page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            if end < 0:
+                sections = False
+                continue
+            end += 3
+            yield "cdata", at, end, "", ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.index(">", at) + 1
+            yield "other", at, end, "", ""
+        else:
+            tag = _TAG.match(page, at)
+            if not tag:
+                at += 1
+                continue
+            end = tag.end()
+            while quoted:
+                edge = _EDGE.search(page, end)
+                if edge and edge[0] == ">":
+                    end = edge.end()
+                    break
+                end = page.find(edge[0], edge.end()) + 1 if edge else 0
+                if not end:
+                    quoted = False
+            if not quoted:
+                end = page.index(">", tag.end()) + 1
+            yield "close" if page[at + 1] == "/" else "open", at, end, tag[1].lower(), page[tag.end() : end - 1]
+        at = end
+
+
+def _decoded(text: str) -> str:
+    return html.unescape(_HUGE.sub("\ufffd", text))
 
 
 def _is_furniture(name: str, attrs: str) -> bool:
@@ -42,11 +106,12 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     """A (text, letters outside links, furniture?, depth of article elements) for each block with text."""
     out, parts = [], []  # parts: (text, in a link)
     stack: list[tuple[str, bool]] = []
+    open_: Counter = Counter()
     bad = inside = links = 0
 
     def flush():
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
+            text = _SPACE.sub(" ", _decoded("".join(t for t, _ in parts))).strip()
             if text:
                 out.append((text, sum(len(t.strip()) for t, a in parts if not a), bad > 0, inside))
             parts.clear()
@@ -55,51 +120,50 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal bad, inside
         while len(stack) > to:
             name, odd = stack.pop()
+            open_[name] -= 1
             bad -= odd
             inside -= name in ("article", "main") and not odd
 
-    at, low = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    at = 0
+    for kind, start, end, name, attrs in tokens(page):
+        if start < at:
             continue
-        if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append((html.escape(m[0][9:-3]), links > 0))
+        if start > at:
+            parts.append((page[at:start], links > 0))
+        at = end
+        if kind == "cdata":
+            parts.append((html.escape(page[start + 9 : end - 3]), links > 0))
+        if not name:
             continue
-        name = name.lower()
-        closing = bool(m[1])
         if name == "a":
-            links = 0 if closing else 1
+            links = int(kind == "open")
             continue
         if name == "br":  # a line break is white space inside its block
             parts.append((" ", links > 0))
             continue
         if name in BLOCKS or name in FURNITURE:
             flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+        if kind == "close":
+            if open_[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop(k)
             continue
         if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            close = _end_of(name).search(page, at)
+            at = close.start() if close else len(page)
             continue
-        if name in VOID or (m[3] or "").endswith("/") and name not in BLOCKS:
+        if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p":
             pop(len(stack) - 1)
         if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         if name in BLOCKS or name in FURNITURE:
-            odd = _is_furniture(name, m[3] or "")
+            odd = _is_furniture(name, attrs)
             stack.append((name, odd))
+            open_[name] += 1
             bad += odd
             inside += name in ("article", "main") and not odd
     if at < len(page):
@@ -108,43 +172,60 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def main_text(page: str | None, window: int = 3, surge: int = 60, inner: int = 1 << 20) -> str:
-    """The kept blocks, joined by an empty line.
+def weights(letters: list[int], marked: list[bool]) -> list[float]:
+    """What each line adds to the windows (see above)."""
+    held = sum(n for n, m in zip(letters, marked, strict=True) if m)
+    share = held / max(1, sum(letters)) if any(marked) else 0.0
+    return [n + MARK if m else max(0.0, (1 - share) * n - share * MARK) for n, m in zip(letters, marked, strict=True)]
+
+
+def kept_lines(weight: list[float], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """Ranges of lines to keep. block(i) is the weight of lines i to i + window - 1.
 
-    The weight of lines i to i+window-1 summed is block(i). A surge is a line where block(i) reaches `surge` while the
-    next blocks do not fall to zero; the dive is the first later line with block(i) = 0. `inner` is what a line inside an
-    article element weighs besides its letters. Without any surge, the run with the greatest weight is kept.
+    A range starts at a surge, a line where block reaches `surge`, and ends before the dive, the next line where block is
+    zero; lines of no weight at its ends go. Without any surge, it starts where block is largest (the first such line).
     """
-    if not page:
-        return ""
-    rows = lines(page)
-    marked = any(r[3] > 0 and not r[2] for r in rows)
-    weight = [0 if r[2] or marked and r[3] == 0 else r[1] + (inner if r[3] else 0) for r in rows]
-    n = len(rows)
-    block = [sum(weight[i : i + window]) for i in range(n)]
-    keep = [False] * n
-    i = 0
-    runs = []
+    n, total = len(weight), [0.0]
+    for w in weight:
+        total.append(total[-1] + w)
+    block = [total[min(i + window, n)] - total[i] if any(weight[i : i + window]) else 0.0 for i in range(n)]
+    if max(block, default=0) < surge:
+        surge = max(block, default=0)
+    out, i = [], 0
     while i < n:
-        if not weight[i]:
+        if not block[i] or block[i] < surge:
             i += 1
             continue
         j = i
-        while j < n and block[j] > 0:
+        while j < n and block[j]:
             j += 1
-        runs.append((max(block[i:j]), i, j))
+        a, z = i, j
+        while not weight[a]:
+            a += 1
+        while not weight[z - 1]:
+            z -= 1
+        out.append((a, z))
         i = j
-    chosen = [r for r in runs if r[0] >= surge] or sorted(runs, key=lambda r: (-r[0], r[1]))[:1]
-    for _, a, b in chosen:
-        for k in range(a, b):
-            keep[k] = weight[k] > 0 or not rows[k][2] and not marked
-    return "\n\n".join(r[0] for r, k in zip(rows, keep, strict=True) if k)
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    """The kept blocks, joined by an empty line."""
+    if not page:
+        return ""
+    rows = [(text, n, depth > 0) for text, n, furniture, depth in lines(page) if not furniture]
+    marked = [r[2] for r in rows]
+    weight = weights([r[1] for r in rows], marked)
+    some = any(marked)
+    # a line of no weight between kept ones belongs to the text (a paragraph in a link), unless it is outside the article
+    return "\n\n".join(rows[k][0] for a, z in kept_lines(weight, window, surge) for k in range(a, z) if weight[k] or not some)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html, ...).
 
-    Null or empty html gives the empty text; repeated rows and null ids are kept; other columns are ignored.
+    Null or empty html gives the empty text, a page without markup its own text in one block; repeated rows and null ids
+    are kept; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):
