@@ -90,3 +90,13 @@ def nfkc(c: Column) -> Column:
 def stable_hash(*parts: Column) -> Column:
     """First 16 hex digits of the sha1 of all parts, each closed by a zero character."""
     return F.substring(F.sha1(F.concat(*[x for p in parts for x in (p, F.lit("\x00"))])), 1, 16)
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The value of Student's t below which a share p of the distribution lies, by halving."""
+    lo, hi = -1e3, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        below = 1 - t_tail(mid, df) / 2 if mid > 0 else t_tail(mid, df) / 2
+        lo, hi = (mid, hi) if below < p else (lo, mid)
+    return (lo + hi) / 2

@@ -59,8 +59,8 @@ def snooping_report(df: DataFrame, group: str, ts: str, model: str, value: str,
 def addis(p: np.ndarray, alpha: float = 0.05, tau: float = 0.5, lam: float = 0.25) -> np.ndarray:
     """Levels of the adaptive discarding rule, in order of the tests; a missing p-value is an error.
 
-    Spending follows j ** -1.6. A test above tau is discarded, one at or under lam * tau is a candidate and is not paid
-    for until it is known not to be rejected.
+    Spending follows j ** -1.6. A test above tau is discarded at level 0; one at or under lam * tau is a candidate and is
+    not paid for. A test is rejected when p / tau is at most its level.
     """
     if np.isnan(p).any():
         raise ValueError("missing p-value")
@@ -80,8 +80,11 @@ def addis(p: np.ndarray, alpha: float = 0.05, tau: float = 0.5, lam: float = 0.2
         if paid[t] != at:
             at = paid[t]
             total = float(pays[: at + 1] @ gamma[at::-1])
-        out[t] = min(tau * lam, (tau - lam * tau) * total)
-        if p[t] <= out[t]:
+        if p[t] > tau:
+            out[t] = 0.0
+            continue
+        out[t] = min(tau * lam, (tau - lam) * total)
+        if p[t] / tau <= out[t]:
             pay = alpha - w0 if first else alpha
             first = False
             pays[paid[t + 1]] += pay
@@ -90,14 +93,14 @@ def addis(p: np.ndarray, alpha: float = 0.05, tau: float = 0.5, lam: float = 0.2
     return out
 
 
-def online_fdr(df: DataFrame, group: str, order: list[str], p: str) -> DataFrame:
+def online_fdr(df: DataFrame, group: str, order: list[str], p: str, alpha: float = 0.05, tau: float = 0.5, lam: float = 0.25) -> DataFrame:
     """Replays each group's tests in order: seq, p, level, rejected."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         x = pdf[p].to_numpy(float)
-        level = addis(x)
-        return pd.DataFrame({"grp": pdf[group].astype(str), "seq": np.arange(len(x)), "p": x, "level": level, "rejected": x <= level})
+        level = addis(x, alpha, tau, lam)
+        return pd.DataFrame({"grp": pdf[group].astype(str), "seq": np.arange(len(x)), "p": x, "level": level, "rejected": (x <= tau) & (x / tau <= level)})
 
     return df.select(*{group, *order, p}).groupBy(group).applyInPandas(run, "grp string, seq long, p double, level double, rejected boolean")
 

@@ -8,8 +8,11 @@ STRATEGY = ("the ", "with ", "this ", " und ", " que ")
 FACTOR = ("of ", "and ", "that ", " der ", " le ")
 HITS = lambda ps: " + ".join(f"CASE WHEN $rlike(lower(abstract), '{p}') THEN 1 ELSE 0 END" for p in ps)
 KIND = f"kd AS (SELECT *, CASE WHEN ({HITS(FACTOR)}) > ({HITS(STRATEGY)}) THEN 'factor' ELSE 'strategy' END AS auto_kind FROM papers), ek AS (SELECT kd.*, coalesce(CASE l.toxic WHEN 1 THEN 'factor' END, auto_kind) AS kind FROM kd LEFT JOIN labels l ON kd.doc_id = l.doc_id)"
-TERMS = "tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, $explode($extract_all(lower(text), '[a-z]+', 0)) AS term FROM documents) GROUP BY doc_id, term), dl AS (SELECT doc_id, sum(f) AS len FROM tf GROUP BY doc_id), st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('retion', 'thein', 'anre', 'ening') GROUP BY term)"
-BM25 = f"{TERMS}, sc AS (SELECT tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM tf JOIN df ON tf.term = df.term JOIN dl ON tf.doc_id = dl.doc_id CROSS JOIN st GROUP BY tf.doc_id)"
+QUERY = ("retion", "thein", "anre", "ening")
+#: One list of words a document; its length and the query's terms are counted in the row, so that nothing is shuffled
+#: but the counts of documents.
+TERMS = f"tw AS (SELECT doc_id, $extract_all(lower(text), '[a-z]+', 0) AS words FROM documents), tf AS (SELECT doc_id, $size(words) AS len{''.join(f', $tally(words, {chr(39)}{t}{chr(39)}) AS f{k}' for k, t in enumerate(QUERY))} FROM tw), st AS (SELECT count(CASE WHEN len > 0 THEN 1 END) AS n, avg(CASE WHEN len > 0 THEN len END) AS avgdl{''.join(f', count_if(f{k} > 0) AS d{k}' for k in range(len(QUERY)))} FROM tf)"
+BM25 = f"{TERMS}, sc AS (SELECT doc_id, {' + '.join(f'ln(1 + (n - d{k} + 0.5) / (d{k} + 0.5)) * f{k} * 2.5 / (f{k} + 1.5 * (0.25 + 0.75 * len / avgdl))' for k in range(len(QUERY)))} AS score FROM tf CROSS JOIN st WHERE {' + '.join(f'f{k}' for k in range(len(QUERY)))} > 0)"
 LEN = 1000
 STEP = 850
 CHUNKS = f"ch AS (SELECT doc_id, source, i, substring(text, i * {STEP} + 1, {LEN}) AS chunk FROM (SELECT doc_id, source, text, $explode($RANGE) AS i FROM documents WHERE length(text) > 0))"
@@ -27,12 +30,12 @@ SQL = {
     "classify_kind": f"WITH {KIND} SELECT doc_id, auto_kind, kind FROM ek",
     "kind_counts": f"WITH {KIND} SELECT k.kind, count(ek.doc_id) AS n FROM (SELECT 'factor' AS kind UNION ALL SELECT 'strategy' UNION ALL SELECT 'other') k LEFT JOIN ek ON ek.kind = k.kind GROUP BY k.kind",
     "template_bucket": "SELECT doc_id, CASE WHEN $rlike(lower(abstract), 'trend|ation') THEN 'momentum' WHEN $rlike(lower(abstract), 'revert|rehe') THEN 'mean_reversion' ELSE 'buy_and_hold' END AS template FROM papers",
-    "upsert_last_wins": "SELECT source, doc_id, batch FROM (SELECT source, doc_id, batch, row_number() OVER (PARTITION BY source, doc_id ORDER BY batch DESC) AS i FROM (SELECT source, doc_id, 1 AS batch FROM documents UNION ALL SELECT source, doc_id, 2 AS batch FROM documents WHERE doc_id % 2 = 0)) WHERE i = 1",
+    "upsert_last_wins": "SELECT doc_id, batch, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY batch DESC) AS i FROM (SELECT doc_id, 1 AS batch, -1 AS quality FROM documents UNION ALL SELECT doc_id, 2 AS batch, quality FROM labels)) WHERE i = 1",
     "crawl_dates": "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events ORDER BY day DESC LIMIT 10",
     "runs_on_day": "SELECT event_id, event_type, value > 20 AS ok FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-07'",
     "normalize_whitespace": r"SELECT doc_id, length(trim($WS)) AS n FROM documents",
-    "stable_hash": "SELECT doc_id, substring(sha1(concat(source, '|', CAST(doc_id AS STRING), '|')), 1, 16) AS key FROM documents",
-    "paper_slug": "SELECT doc_id, substring($SLUG, 1, 40) AS slug FROM documents WHERE lang = 'en'",
+    "stable_hash": "SELECT doc_id, substring(sha1($HASHED), 1, 16) AS key FROM documents",
+    "paper_slug": "SELECT doc_id, substring($SLUG, 1, 64) AS slug FROM papers",
     "bm25_topk": f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY round(score, 6) DESC, doc_id LIMIT 50",
     "bm25_by_kind": f"WITH {BM25} SELECT sc.doc_id, round(score, 6) AS score FROM sc JOIN labels l ON sc.doc_id = l.doc_id AND l.quality = 1 ORDER BY round(score, 6) DESC, sc.doc_id LIMIT 25",
     "chunks": f"WITH {CHUNKS} SELECT doc_id, i, length(chunk) AS n FROM ch",
@@ -50,7 +53,8 @@ _WORDS = {
     "$RANGE": (f"sequence(0, greatest(0, CAST(ceil((length(text) - {LEN}) / CAST({STEP} AS DOUBLE)) AS INT)))", f"range(0, greatest(0, CAST(ceil((length(text) - {LEN}) / CAST({STEP} AS DOUBLE)) AS INT)) + 1)"),
     "$JOIN(": ("concat_ws(',', ", "concat_ws_list("),
     "$WS": (r"regexp_replace(text, '\\s+', ' ')", r"regexp_replace(text, '\s+', ' ', 'g')"),
-    "$SLUG": ("regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', '-')", "regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', '-', 'g')"),
+    "$SLUG": ("regexp_replace(lower(concat(source, '-', source_id)), '[^a-z0-9]+', '-')", "regexp_replace(lower(concat(source, '-', source_id)), '[^a-z0-9]+', '-', 'g')"),
+    "$HASHED": ("concat(encode(source, 'UTF-8'), unhex('00'), encode(CAST(doc_id AS STRING), 'UTF-8'), unhex('00'))", "CAST(encode(source) || '\\x00'::BLOB || encode(CAST(doc_id AS STRING)) || '\\x00'::BLOB AS BLOB)"),
     "$JSON": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
     "$DOW": ("(weekday(d) + 1)", "isodow(d)"),
     "GAP": ("ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts)", "lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts"),

@@ -3,31 +3,67 @@
 from __future__ import annotations
 
 MOM = "mo AS (SELECT symbol, count(*) AS n, avg(r) AS m, stddev_samp(r) AS sd FROM small GROUP BY symbol), ce AS (SELECT s.symbol, ts, row_number() OVER (PARTITION BY s.symbol ORDER BY ts) AS i, r - m AS c, n, m, sd FROM small s JOIN mo ON s.symbol = mo.symbol)"
-ACF = f"{MOM}, ac AS (SELECT a.symbol, a.i - b.i AS lag, sum(a.c * b.c) AS g, max(a.n) AS n FROM ce a JOIN ce b ON a.symbol = b.symbol AND a.i - b.i BETWEEN 0 AND 10 GROUP BY a.symbol, a.i - b.i), rho AS (SELECT x.symbol, x.lag, x.n, x.g, x.g / nullif(z.g, 0) AS rho FROM ac x JOIN ac z ON x.symbol = z.symbol AND z.lag = 0)"
+LAGS = range(1, 11)
+#: Autocovariance sums g0 to g10 and autocorrelations p1 to p10: one window over lagged values, no self-join.
+ACF = f"{MOM}, lg AS (SELECT symbol, n, c{''.join(f', lag(c, {k}) OVER (PARTITION BY symbol ORDER BY i) AS c{k}' for k in LAGS)} FROM ce), ac AS (SELECT symbol, max(n) AS n, sum(c * c) AS g0{''.join(f', coalesce(sum(c * c{k}), 0) AS g{k}' for k in LAGS)} FROM lg GROUP BY symbol), rho AS (SELECT *{''.join(f', g{k} / nullif(g0, 0) AS p{k}' for k in LAGS)} FROM ac)"
+_Q10 = "n * (n + 2) * (" + " + ".join(f"p{k} * p{k} / (n - {k})" for k in LAGS) + ")"
+
+
+def chi2_tail_even(q: str, df: int) -> str:
+    """Upper tail of chi-square with an even number of degrees of freedom: a finite sum."""
+    terms, fact = [], 1
+    for i in range(df // 2):
+        fact *= max(i, 1)
+        terms.append(f"power({q} / 2, {i}) / {fact}.0")
+    return f"exp(-({q}) / 2) * ({' + '.join(terms)})"
+
+
+# Coefficients of the published rational approximation of erfc (relative error under 1.2e-7).
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_two_sided(z: str) -> str:
+    """Chance that a standard normal value is further from 0 than z."""
+    x = f"(abs({z}) * 0.7071067811865476)"
+    t = f"(1 / (1 + 0.5 * {x}))"
+    poly = f"{_ERFC[-1]}"
+    for c in _ERFC[-2::-1]:
+        poly = f"({c} + {t} * {poly})"
+    return f"least(1.0, {t} * exp(-{x} * {x} + {poly}))"
+
+
+#: Variance ratios for q = 2, 4, 8, 16, with the heteroskedasticity-robust variance of each.
+QS = (2, 4, 8, 16)
+_LAG16 = range(1, 16)
+VR = (
+    f"vl AS (SELECT symbol, n, i, c{''.join(f', lag(c, {k}) OVER (PARTITION BY symbol ORDER BY i) AS c{k}' for k in _LAG16)}{''.join(f', sum(c) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN {q - 1} PRECEDING AND CURRENT ROW) AS b{q}' for q in QS)} FROM ce), "
+    f"vs AS (SELECT symbol, CAST(max(n) AS DOUBLE) AS n, sum(c * c) AS g0{''.join(f', sum(c * c * c{k} * c{k}) AS h{k}' for k in _LAG16)}{''.join(f', sum(CASE WHEN i >= {q} THEN b{q} * b{q} END) AS e{q}' for q in QS)} FROM vl GROUP BY symbol), "
+    "vq AS (" + " UNION ALL ".join(f"SELECT symbol, n, CAST({q} AS DOUBLE) AS q, e{q} / ({q}.0 * (n - {q} + 1) * (1 - {q}.0 / n)) / (g0 / (n - 1)) AS vr, " + " + ".join(f"{(2 * (q - k) / q) ** 2!r} * h{k} / (g0 * g0)" for k in range(1, q)) + " AS th FROM vs" for q in QS) + ")"
+)
 ISLANDS = "fl AS (SELECT symbol, d, CASE WHEN $days(PREV) > 2 THEN 1 WHEN lag(d) OVER (PARTITION BY symbol ORDER BY d) IS NULL THEN 1 ELSE 0 END AS new FROM flags), ep AS (SELECT symbol, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM (SELECT symbol, d, sum(new) OVER (PARTITION BY symbol ORDER BY d) AS island FROM fl) GROUP BY symbol, island)"
 RESID = "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS cluster, l_extendedprice / l_quantity AS y, l_discount AS d, l_tax AS x1, l_quantity AS x2 FROM lineitem"
+#: Frisch-Waugh-Lovell by one pass of covariances (a row of coefficients), then one pass of residuals by cluster.
 FWL = (
-    f"p AS ({RESID}), c AS (SELECT cluster, y - avg(y) OVER () AS y, d - avg(d) OVER () AS d, x1 - avg(x1) OVER () AS x1, x2 - avg(x2) OVER () AS x2 FROM p), "
-    "s AS (SELECT sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS y1, sum(x2 * y) AS y2, sum(x1 * d) AS d1, sum(x2 * d) AS d2 FROM c), "
-    "b AS (SELECT (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS by1, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS by2, (d1 * s22 - d2 * s12) / (s11 * s22 - s12 * s12) AS bd1, (d2 * s11 - d1 * s12) / (s11 * s22 - s12 * s12) AS bd2 FROM s), "
-    "e AS (SELECT cluster, y - by1 * x1 - by2 * x2 AS ey, d - bd1 * x1 - bd2 * x2 AS ed FROM c CROSS JOIN b), "
-    "t AS (SELECT sum(ed * ey) / sum(ed * ed) AS theta, sum(ed * ed) AS sdd, count(*) AS n FROM e)"
+    f"p AS ({RESID}), s AS (SELECT count(*) AS n, avg(y) AS my, avg(d) AS md, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, covar_pop(x1, x2) AS s12, var_pop(x2) AS s22, covar_pop(x1, y) AS y1, covar_pop(x2, y) AS y2, covar_pop(x1, d) AS d1, covar_pop(x2, d) AS d2, covar_pop(d, y) AS dy, var_pop(d) AS dd FROM p), "
+    "b AS (SELECT *, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS by1, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS by2, (d1 * s22 - d2 * s12) / (s11 * s22 - s12 * s12) AS bd1, (d2 * s11 - d1 * s12) / (s11 * s22 - s12 * s12) AS bd2 FROM s), "
+    "t AS (SELECT *, (dy - bd1 * y1 - bd2 * y2) / (dd - bd1 * d1 - bd2 * d2) AS theta, n * (dd - bd1 * d1 - bd2 * d2) AS sdd FROM b), "
+    "e AS (SELECT cluster, t.n, theta, sdd, y - my - by1 * (x1 - m1) - by2 * (x2 - m2) AS ey, d - md - bd1 * (x1 - m1) - bd2 * (x2 - m2) AS ed FROM p CROSS JOIN t)"
 )
 
 SQL = {
     "annualized_sharpe": "SELECT symbol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 8) AS sharpe FROM small GROUP BY symbol",
     "sharpe_moments": f"WITH {MOM} SELECT symbol, max(n) AS n, round(max(m) / nullif(max(sd), 0), 8) AS sr, round(avg(c * c * c) / nullif(power(avg(c * c), 1.5), 0), 6) AS skew, round(avg(c * c * c * c) / nullif(power(avg(c * c), 2), 0), 6) AS kurt FROM ce GROUP BY symbol",
     "min_track_record_length": f"WITH {MOM}, q AS (SELECT symbol, max(m) / max(sd) AS sr, avg(c * c * c) / power(avg(c * c), 1.5) AS sk, avg(c * c * c * c) / power(avg(c * c), 2) AS ku FROM ce GROUP BY symbol) SELECT symbol, round(CASE WHEN sr > 0.01 THEN 1 + (1 - sk * sr + (ku - 1) / 4 * sr * sr) * power(1.6448536269514722 / (sr - 0.01), 2) END, 4) AS min_trl FROM q",
-    "variance_ratio": f"WITH {MOM}, q AS (SELECT symbol, i, c, sum(c) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c2, sum(c) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS c4, n FROM ce), v AS (SELECT symbol, max(n) AS n, sum(c * c) / (max(n) - 1) AS s1, sum(CASE WHEN i >= 2 THEN c2 * c2 END) / (2 * (max(n) - 1) * (1 - 2.0 / max(n))) AS s2, sum(CASE WHEN i >= 4 THEN c4 * c4 END) / (4 * (max(n) - 3) * (1 - 4.0 / max(n))) AS s4 FROM q GROUP BY symbol) SELECT symbol, round(s2 / s1, 8) AS vr_2, round((s2 / s1 - 1) / sqrt(1.0 / n), 6) AS z_2, round(s4 / s1, 8) AS vr_4, round((s4 / s1 - 1) / sqrt(3.5 / n), 6) AS z_4 FROM v",
-    "ljung_box": f"WITH {ACF} SELECT symbol, round(max(n) * (max(n) + 2) * sum(rho * rho / (n - lag)), 6) AS q10 FROM rho WHERE lag > 0 GROUP BY symbol",
-    "runs_test": "WITH s AS (SELECT symbol, sign(r) AS s, lag(sign(r)) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM small WHERE r <> 0), q AS (SELECT symbol, 1 + count_if(s <> p) AS runs, CAST(count_if(s > 0) AS DOUBLE) AS a, CAST(count_if(s < 0) AS DOUBLE) AS b FROM s GROUP BY symbol) SELECT symbol, runs, round((runs - (2 * a * b / (a + b) + 1)) / sqrt(2 * a * b * (2 * a * b - a - b) / ((a + b) * (a + b) * (a + b - 1))), 8) AS z FROM q",
+    "variance_ratio": f"WITH {MOM}, {VR}, z AS (SELECT symbol, q, vr, (vr - 1) / sqrt(2 * (2 * q - 1) * (q - 1) / (3 * q * n)) AS z, (vr - 1) / sqrt(nullif(th, 0)) AS z_het FROM vq) SELECT symbol, q, round(vr, 8) AS vr, round(z, 6) AS z, round({normal_two_sided('z')}, 6) AS p, round(z_het, 6) AS z_het, round({normal_two_sided('z_het')}, 6) AS p_het FROM z",
+    "ljung_box": f"WITH {ACF}, q AS (SELECT symbol, {_Q10} AS q FROM rho) SELECT symbol, round(q, 6) AS q10, round({chi2_tail_even('q', 10)}, 8) AS p FROM q",
+    "runs_test": f"WITH s AS (SELECT symbol, sign(r) AS s, lag(sign(r)) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM small WHERE r <> 0), q AS (SELECT symbol, 1 + count_if(s <> p) AS runs, CAST(count_if(s > 0) AS DOUBLE) AS a, CAST(count_if(s < 0) AS DOUBLE) AS b FROM s GROUP BY symbol), z AS (SELECT symbol, runs, (runs - (2 * a * b / (a + b) + 1)) / sqrt(2 * a * b * (2 * a * b - a - b) / ((a + b) * (a + b) * (a + b - 1))) AS z FROM q) SELECT symbol, runs, round(z, 8) AS z, round({normal_two_sided('z')}, 6) AS p FROM z",
     "permutation_entropy": "WITH x AS (SELECT symbol, r AS a, lead(r, 1) OVER (PARTITION BY symbol ORDER BY ts) AS b, lead(r, 2) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM small), p AS (SELECT symbol, concat(CASE WHEN a <= b THEN '1' ELSE '0' END, CASE WHEN b <= c THEN '1' ELSE '0' END, CASE WHEN a <= c THEN '1' ELSE '0' END) AS code FROM x WHERE c IS NOT NULL), n AS (SELECT symbol, code, count(*) AS k FROM p GROUP BY symbol, code) SELECT symbol, round(-sum(k * 1.0 / t * ln(k * 1.0 / t)) / ln(6), 8) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY symbol) AS t FROM n) GROUP BY symbol",
     "hurst_rs": "WITH s AS (SELECT sz FROM (SELECT 8 AS sz UNION ALL SELECT 12 UNION ALL SELECT 16 UNION ALL SELECT 24)), b AS (SELECT symbol, sz, CAST(floor((i - 1) / sz) AS BIGINT) AS blk, i, r FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, r FROM small) CROSS JOIN s), f AS (SELECT *, avg(r) OVER (PARTITION BY symbol, sz, blk) AS m, count(*) OVER (PARTITION BY symbol, sz, blk) AS c FROM b), y AS (SELECT *, sum(r - m) OVER (PARTITION BY symbol, sz, blk ORDER BY i) AS z FROM f WHERE c = sz), rs AS (SELECT symbol, sz, blk, (max(z) - min(z)) / nullif(stddev_samp(r), 0) AS v FROM y GROUP BY symbol, sz, blk), a AS (SELECT symbol, ln(sz) AS x, ln(avg(v)) AS y FROM rs GROUP BY symbol, sz) SELECT symbol, round(regr_slope(y, x), 8) AS hurst FROM a GROUP BY symbol HAVING count(*) = 4",
     "t_test": "SELECT symbol, count(*) AS n, round(avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0), 8) AS t FROM small GROUP BY symbol",
-    "newey_west_t": f"WITH {ACF}, v AS (SELECT symbol, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 6.0) * g END) / max(n) AS lrv, max(n) AS n FROM rho WHERE lag <= 5 GROUP BY symbol) SELECT v.symbol, round(mo.m / sqrt(lrv / v.n), 8) AS t FROM v JOIN mo ON v.symbol = mo.symbol",
+    "newey_west_t": f"WITH {ACF}, v AS (SELECT symbol, n, (g0 + {' + '.join(f'2 * (1 - {k} / 6.0) * g{k}' for k in range(1, 6))}) / n AS lrv FROM rho), w AS (SELECT v.symbol, mo.m / sqrt(lrv / v.n) AS t FROM v JOIN mo ON v.symbol = mo.symbol) SELECT symbol, round(t, 8) AS t, round({normal_two_sided('t')}, 6) AS p FROM w",
     "cohens_d": "SELECT symbol, round(avg(r) / nullif(stddev_samp(r), 0), 8) AS d, round(avg(r) / nullif(stddev_samp(r), 0) - 1.959963984540054 / sqrt(count(*)), 8) AS low, round(avg(r) / nullif(stddev_samp(r), 0) + 1.959963984540054 / sqrt(count(*)), 8) AS high FROM small GROUP BY symbol",
-    "holm_bonferroni": "WITH t AS (SELECT symbol, exp(-abs(avg(r) / (stddev_samp(r) / sqrt(count(*))))) AS p FROM small GROUP BY symbol), o AS (SELECT *, row_number() OVER (ORDER BY p, symbol) AS k, count(*) OVER () AS m FROM t) SELECT symbol, round(p, 8) AS p, round(least(1.0, p * m), 8) AS bonferroni, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k), 8) AS holm FROM o",
-    "n_effective": f"WITH {ACF} SELECT symbol, floor(max(n) / greatest(1.0, 1 + 2 * sum(CASE WHEN rho > 0 THEN rho ELSE 0 END))) AS n_eff FROM rho WHERE lag > 0 GROUP BY symbol",
+    "holm_bonferroni": f"WITH {ACF}, q AS (SELECT symbol, {_Q10} AS q FROM rho), t AS (SELECT symbol, {chi2_tail_even('q', 10)} AS p FROM q), o AS (SELECT *, row_number() OVER (ORDER BY p, symbol) AS k, count(*) OVER () AS m FROM t) SELECT symbol, round(p, 8) AS p, round(least(1.0, p * m), 8) AS bonferroni, round(max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k), 8) AS holm FROM o",  # a row a test
+    "n_effective": f"WITH {ACF} SELECT symbol, floor(n / greatest(1.0, 1 + 2 * ({' + '.join(f'CASE WHEN p{k} > 0 THEN p{k} ELSE 0 END' for k in LAGS)}))) AS n_eff FROM rho",
     "jarque_bera": f"WITH {MOM}, q AS (SELECT symbol, max(n) AS n, avg(c * c * c) / power(avg(c * c), 1.5) AS sk, avg(c * c * c * c) / power(avg(c * c), 2) AS ku FROM ce GROUP BY symbol) SELECT symbol, round(n / 6.0 * (sk * sk + (ku - 3) * (ku - 3) / 4), 6) AS jb, round(exp(-n / 12.0 * (sk * sk + (ku - 3) * (ku - 3) / 4)), 8) AS p FROM q",
     "effective_n_trials": "WITH z AS (SELECT symbol, ts, (r - avg(r) OVER (PARTITION BY symbol)) / stddev_pop(r) OVER (PARTITION BY symbol) AS z FROM small), c AS (SELECT a.symbol AS a, b.symbol AS b, avg(a.z * b.z) AS rho FROM z a JOIN z b ON a.ts = b.ts GROUP BY a.symbol, b.symbol) SELECT round(count(DISTINCT a) * count(DISTINCT a) / sum(rho * rho), 6) AS n_eff FROM c",
     "dsr_sr_variance": "WITH s AS (SELECT symbol, avg(r) / stddev_samp(r) AS sr, count(*) AS n FROM small GROUP BY symbol) SELECT round(greatest(1.0 / (max(n) - 1), var_samp(sr)), 10) AS variance FROM s",
@@ -39,9 +75,9 @@ SQL = {
     # aggregations
     "count_by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "count_distinct_composite": "SELECT count(DISTINCT concat(source, '|', CAST(doc_id AS STRING))) AS n FROM documents",
-    "null_rate_by_year": "SELECT year(o_orderdate) AS y, round(avg(CASE WHEN o_totalprice < 1000 THEN 1.0 ELSE 0.0 END), 4) AS null_rate FROM orders GROUP BY 1",
+    "null_rate_by_year": "WITH x AS (SELECT o.o_orderkey, year(o.o_orderdate) AS y, l.l_orderkey AS v FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') l ON o.o_orderkey = l.l_orderkey) SELECT y, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 4) AS null_rate FROM x GROUP BY y UNION ALL SELECT NULL, round(avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END), 4) FROM x",
     "liquid_universe": "WITH u AS (SELECT symbol, median(volume) AS med, max(close) FILTER (WHERE k = 1) AS first_close, any_value(symbol) AS name FROM rets GROUP BY symbol HAVING count(*) >= 12), t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY med DESC, symbol) AS place FROM u) WHERE place <= 4) SELECT symbol, round(med, 4) AS med, first_close FROM t WHERE first_close >= 1000",
-    "trailing_universe": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars WHERE ts <= DATE '2000-12-31'), q AS (SELECT symbol, median(volume) AS med, max(CASE WHEN back = 1 THEN close END) AS last_close, count(*) AS n FROM t WHERE back <= 12 GROUP BY symbol) SELECT symbol, round(med, 4) AS med, last_close FROM q WHERE n >= 6 AND last_close >= 1000 ORDER BY med DESC, symbol LIMIT 4",
+    "trailing_universe": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM bars WHERE ts <= DATE '2000-12-31'), q AS (SELECT symbol, median(volume) AS med, max(CASE WHEN back = 1 THEN close END) AS last_close, count(*) AS n FROM t WHERE back <= 12 GROUP BY symbol) SELECT symbol, round(med, 4) AS med, last_close FROM q WHERE n >= 6 AND last_close >= 1000 AND med >= 100000 ORDER BY med DESC, symbol LIMIT 4",
     "hourly_bars": "SELECT symbol, CAST(ts AS STRING) AS hour, close, high, low, round(volume, 6) AS volume, n FROM hourly",
     "episodes": f"WITH {ISLANDS} SELECT symbol, first_day, last_day, days FROM ep",
     "episode_feasibility": f"WITH {ISLANDS} SELECT count(*) AS episodes, count(DISTINCT symbol) AS symbols, median(days) AS median_days, round(avg(CASE WHEN days >= 3 THEN 1.0 ELSE 0.0 END), 8) AS long_share FROM ep",
@@ -49,8 +85,9 @@ SQL = {
     "by_year_t": "SELECT year(ts) AS y, count(*) AS n, round(avg(r) * 10000, 6) AS mean_bps, round(CASE WHEN count(*) > 2 THEN avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0) END, 8) AS t FROM small GROUP BY 1",
     "cost_break_even": "WITH c AS (SELECT 0 AS bps UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20 UNION ALL SELECT 40 UNION ALL SELECT 80) SELECT bps, round(avg(r - bps / 10000.0), 10) AS net FROM small CROSS JOIN c GROUP BY bps",
     "weekly_bucket_mean": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, round(avg(value), 8) AS mean FROM events GROUP BY 1",
-    "gap_percentiles": "SELECT round($pct(value, 0.01), 6) AS p01, round($pct(value, 0.05), 6) AS p05, round($pct(value, 0.25), 6) AS p25, round($pct(value, 0.5), 6) AS p50, round($pct(value, 0.75), 6) AS p75, round($pct(value, 0.95), 6) AS p95, round($pct(value, 0.99), 6) AS p99, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd FROM events",
-    "perf_summary": "SELECT symbol, round($days(SPAN) / 365.25, 6) AS years, round(power(max_by(w, k), 365.25 / $days(SPAN)) - 1, 8) AS cagr, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 8) AS sharpe, count_if(abs(r) > 0.005) AS n_tx FROM equity GROUP BY symbol",
+    "gap_percentiles": "SELECT " + ", ".join(f"round($pct(value, {p}), 6) AS p{str(p)[2:]}" for p in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + ", min(value) AS low, max(value) AS high, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd FROM events",
+    "value_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type",
+    "perf_summary": "WITH m AS (SELECT symbol, max(d) AS mdd FROM dd GROUP BY symbol) SELECT e.symbol, round($days(SPAN) / 365.25, 6) AS years, round(power(max_by(w, k), 365.25 / $days(SPAN)) - 1, 8) AS cagr, round(stddev_samp(r) * sqrt(12), 8) AS vol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 8) AS sharpe, round(max(mdd), 8) AS max_drawdown, count_if(abs(r) > 0.005) AS n_tx FROM equity e JOIN m ON e.symbol = m.symbol GROUP BY e.symbol",
     "last_wins": "SELECT user_id, max_by(event_type, event_id) AS disposition, sum(1) AS trials FROM events GROUP BY user_id",
     "disposition_counter": "WITH l AS (SELECT user_id, max_by(event_type, event_id) AS disposition, max_by(value, event_id) AS v FROM events GROUP BY user_id) SELECT disposition, count(*) AS n, round(sum(v), 6) AS delta_n, count_if(v > 50) AS n_claim FROM l GROUP BY disposition",
     # joins
@@ -59,18 +96,20 @@ SQL = {
     "semi_join_scope": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "asof_backward": "WITH c AS (SELECT symbol, ts, lag(v, 1) OVER (PARTITION BY symbol ORDER BY ts) AS shifted FROM (SELECT symbol, date_trunc('day', ts) AS ts, sum(value) AS v FROM (SELECT event_type AS symbol, ts, value FROM events) GROUP BY 1, 2)), u AS (SELECT symbol, ts, CAST(NULL AS DOUBLE) AS v, 1 AS side FROM hourly UNION ALL SELECT symbol, ts, shifted AS v, 0 AS side FROM c) SELECT symbol, CAST(ts AS STRING) AS ts, round(v, 6) AS coarse FROM (SELECT symbol, ts, side, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM u) WHERE side = 1",
     "asof_with_default": "SELECT d.symbol, d.d, coalesce(o.w, 1.0) AS weight FROM daily d LEFT JOIN (SELECT symbol, d, least(1.0, greatest(0.0, round(v / 100, 6))) AS w FROM daily WHERE n >= 70) o ON d.symbol = o.symbol AND d.d = o.d",
-    "pit_topk": "SELECT day, doc_id, n_chars FROM (SELECT q.day, p.doc_id, p.n_chars, row_number() OVER (PARTITION BY q.day ORDER BY p.n_chars DESC, p.doc_id) AS place FROM (SELECT DISTINCT year AS day FROM papers) q JOIN papers p ON p.year <= q.day - 1) WHERE place <= 5",
+    # only each year's first five can be among the first five of a later day
+    "pit_topk": "WITH p AS (SELECT year, doc_id, n_chars FROM (SELECT year, doc_id, n_chars, row_number() OVER (PARTITION BY year ORDER BY n_chars DESC, doc_id) AS place FROM papers) WHERE place <= 5) SELECT day, doc_id, n_chars FROM (SELECT q.day, p.doc_id, p.n_chars, row_number() OVER (PARTITION BY q.day ORDER BY p.n_chars DESC, p.doc_id) AS place FROM (SELECT DISTINCT year AS day FROM p) q JOIN p ON p.year <= q.day - 1) WHERE place <= 5",
     "event_window": f"WITH {ISLANDS}, s AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM daily)), m AS (SELECT d, avg(v) AS v FROM daily GROUP BY d), w AS (SELECT e.symbol, e.first_day, s.i - z.i AS u, m.v FROM ep e JOIN s z ON e.first_day = z.d JOIN s ON s.i BETWEEN z.i - 3 AND z.i + 5 JOIN m ON m.d = s.d) SELECT u, count(*) AS n, round(avg(v), 8) AS car FROM w GROUP BY u",
-    "clean_controls": "SELECT g.symbol, g.d FROM (SELECT a.symbol, b.d FROM (SELECT DISTINCT symbol FROM flags) a CROSS JOIN (SELECT DISTINCT d FROM flags) b) g WHERE NOT EXISTS (SELECT 1 FROM flags f WHERE f.symbol = g.symbol AND f.d BETWEEN g.d - 1 AND g.d + 1)",
-    "matched_controls": "WITH z AS (SELECT symbol, ts, ret, (ret - avg(ret) OVER (PARTITION BY ts)) / nullif(stddev_samp(ret) OVER (PARTITION BY ts), 0) AS a, (volume - avg(volume) OVER (PARTITION BY ts)) / nullif(stddev_samp(volume) OVER (PARTITION BY ts), 0) AS b FROM rets WHERE ret IS NOT NULL) SELECT symbol, ts, control, round(dist, 8) AS dist FROM (SELECT x.symbol, x.ts, y.symbol AS control, (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) AS dist, row_number() OVER (PARTITION BY x.symbol, x.ts ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b), y.symbol) AS place FROM z x JOIN z y ON x.ts = y.ts AND x.symbol <> y.symbol WHERE x.ret > 2) WHERE place <= 2",
+    # a day is clean unless a flag is within 3 sessions: flags spread over their neighbourhood, then an anti join by key
+    "clean_controls": "WITH s AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM flags)), f AS (SELECT flags.symbol, s.i FROM flags JOIN s ON flags.d = s.d), near AS (SELECT DISTINCT symbol, i + o AS i FROM (SELECT symbol, i, $explode($offsets) AS o FROM f)), g AS (SELECT a.symbol, s.d, s.i FROM (SELECT DISTINCT symbol FROM flags) a CROSS JOIN s) SELECT g.symbol, g.d FROM g LEFT ANTI_JOIN near ON g.symbol = near.symbol AND g.i = near.i",
+    "matched_controls": "WITH x AS (SELECT symbol, ts, ret, lag(ret) OVER (PARTITION BY symbol ORDER BY ts) AS a, lag(volume) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM rets), z AS (SELECT symbol, ts, ret, (a - avg(a) OVER (PARTITION BY ts)) / nullif(stddev_samp(a) OVER (PARTITION BY ts), 0) AS a, (b - avg(b) OVER (PARTITION BY ts)) / nullif(stddev_samp(b) OVER (PARTITION BY ts), 0) AS b FROM x WHERE a IS NOT NULL), f AS (SELECT * FROM z WHERE ret > 2), c AS (SELECT * FROM z WHERE NOT ret > 2) SELECT symbol, ts, control, round(dist, 8) AS dist FROM (SELECT x.symbol, x.ts, y.symbol AS control, (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) AS dist, row_number() OVER (PARTITION BY x.symbol, x.ts ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b), y.symbol) AS place FROM f x JOIN c y ON x.ts = y.ts) WHERE place <= 10",
     "calendar_alignment": "SELECT c.d, v.symbol, round(coalesce(x.v, 0), 8) AS v FROM (SELECT DISTINCT d FROM daily) c CROSS JOIN (SELECT DISTINCT symbol FROM daily) v LEFT JOIN (SELECT * FROM daily WHERE n > 60) x ON x.d = c.d AND x.symbol = v.symbol",
-    "upsert_counts": "WITH b AS (SELECT doc_id AS k FROM documents WHERE doc_id % 3 = 0), n AS (SELECT doc_id AS k FROM labels) SELECT count_if(b.k IS NULL) AS inserted, count_if(b.k IS NOT NULL AND n.k IS NOT NULL) AS updated, count_if(n.k IS NULL) AS untouched FROM b FULL OUTER JOIN n ON b.k = n.k",
+    "upsert_counts": "SELECT count_if(b.k IS NULL) AS inserted, count_if(b.k IS NOT NULL AND n.k IS NOT NULL) AS updated, count_if(n.k IS NULL) AS untouched FROM (SELECT doc_id AS k FROM documents) b FULL OUTER JOIN (SELECT doc_id AS k FROM labels) n ON b.k = n.k",
     "union_distinct_dates": "SELECT d FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem)",
     "intersect_keys": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "except_keys": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "keep_first": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) WHERE i = 1",
     # causal
-    "plr_effect": f"WITH {FWL}, r AS (SELECT sum(ed * ed * (ey - theta * ed) * (ey - theta * ed)) AS meat FROM e CROSS JOIN t), g AS (SELECT sum(s * s) AS meat_c, count(*) AS clusters FROM (SELECT cluster, sum(ed * (ey - theta * ed)) AS s FROM e CROSS JOIN t GROUP BY cluster)) SELECT n, round(theta, 6) AS theta, round(sqrt(meat) / sdd, 6) AS se, clusters, round(sqrt(meat_c * clusters / (clusters - 1)) / sdd, 6) AS se_cluster FROM t CROSS JOIN r CROSS JOIN g",
+    "plr_effect": f"WITH {FWL}, g AS (SELECT cluster, max(n) AS n, max(theta) AS theta, max(sdd) AS sdd, sum(ed * (ey - theta * ed)) AS s, sum(ed * ed * (ey - theta * ed) * (ey - theta * ed)) AS q FROM e GROUP BY cluster) SELECT max(n) AS n, round(max(theta), 6) AS theta, round(sqrt(sum(q)) / max(sdd), 6) AS se, count(*) AS clusters, round(sqrt(sum(s * s) * count(*) / (count(*) - 1)) / max(sdd), 6) AS se_cluster FROM g",
     "fama_macbeth": f"WITH p AS ({RESID}), b AS (SELECT cluster, regr_slope(y, d) AS beta FROM p GROUP BY cluster HAVING count(*) >= 30) SELECT count(*) AS periods, round(avg(beta), 6) AS beta, round(avg(beta) / (stddev_samp(beta) / sqrt(count(*))), 6) AS t FROM b",
     "time_block_signs": f"WITH p AS ({RESID}), b AS (SELECT cluster, regr_slope(y, d) AS beta FROM p GROUP BY cluster HAVING count(*) >= 30), k AS (SELECT ntile(10) OVER (ORDER BY cluster) AS blk, beta FROM b) SELECT blk, count(*) AS periods, sign(avg(beta)) AS s FROM k GROUP BY blk",
 }
@@ -81,4 +120,5 @@ _SPAN = ("max(ts), min(ts)", "min(ts), max(ts)")
 
 
 def sql(name: str, duck: bool) -> str:
-    return SQL[name].replace("PREV", _PREV[duck]).replace("SPAN", _SPAN[duck])
+    text = SQL[name].replace("LEFT ANTI_JOIN", "ANTI JOIN" if duck else "LEFT ANTI JOIN").replace("$offsets", "range(-3, 4)" if duck else "sequence(-3, 3)")
+    return text.replace("PREV", _PREV[duck]).replace("SPAN", _SPAN[duck])

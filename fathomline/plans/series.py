@@ -5,6 +5,8 @@ Frames end at t-1 where a sample must not hold the value it judges, and full win
 
 from __future__ import annotations
 
+from math import exp
+
 P = "PARTITION BY symbol ORDER BY ts"
 
 
@@ -20,11 +22,16 @@ def full(expr: str, w: int, of: str, lo: int | None = None, hi: int = 0) -> str:
 
 
 W = 12
+#: Weights of an exponential average over 24 bars, newest first.
+EWMA = [(k, exp(-k / 6)) for k in range(24)]
 TOL = 1e-12
-OBV = f"obv AS (SELECT *, sum(sign(close - prev) * volume) OVER ({P}) AS o FROM (SELECT *, coalesce(lag(close) OVER ({P}), close) AS prev FROM rets))"
+#: A missing close poisons all later values, a missing volume alike: sums are void once a term has been missing.
+OBV = f"obv AS (SELECT *, CASE WHEN count(CASE WHEN term IS NULL THEN 1 END) OVER ({P}) = 0 THEN sum(term) OVER ({P}) END AS o FROM (SELECT *, CASE WHEN k = 1 AND close IS NOT NULL THEN 0.0 * volume ELSE sign(close - lag(close) OVER ({P})) * volume END AS term FROM rets))"
 SLOPES = f"{OBV}, s AS (SELECT symbol, ts, {full('regr_slope(close, k)', W, 'close')} AS slope, {full('covar_pop(close, o)', W, 'o')} AS cv, {full('stddev_pop(close)', W, 'o')} AS sc, {full('stddev_pop(o)', W, 'o')} AS so FROM obv), c AS (SELECT symbol, ts, slope, greatest(-1.0, least(1.0, cv / nullif(sc * so, 0))) AS corr FROM s)"
 Z = f"z AS (SELECT symbol, ts, k, volume, ln(1 + volume) AS x, avg(ln(1 + volume)) {over(-W, -1)} AS m, stddev_samp(ln(1 + volume)) {over(-W, -1)} AS s, count(*) {over(-W, -1)} AS c FROM rets), zz AS (SELECT symbol, ts, CASE WHEN c < {W} THEN NULL WHEN s > {TOL} * greatest(abs(m), 1.0) THEN (x - m) / s WHEN abs(x - m) <= {TOL} * greatest(abs(m), 1.0) THEN 0.0 END AS z FROM z)"
 
+#: A bar without price or volume counts on neither side of the fraction.
+VWAP = f"vw AS (SELECT symbol, ts, close, CASE WHEN k >= {W} THEN sum(tp * volume) {over(-W + 1)} / nullif(sum(CASE WHEN tp IS NOT NULL THEN volume END) {over(-W + 1)}, 0) END AS vwap FROM (SELECT *, (high + low + close) / 3 AS tp FROM rets))"
 MODWT = (
     f"v1 AS (SELECT symbol, ts, k, r, (r + lag(r, 1, CAST(0 AS DOUBLE)) OVER ({P})) / 2 AS v, (r - lag(r, 1, CAST(0 AS DOUBLE)) OVER ({P})) / 2 AS w1 FROM small), "
     f"v2 AS (SELECT symbol, ts, k, r, w1, (v + lag(v, 2, CAST(0 AS DOUBLE)) OVER ({P})) / 2 AS v, (v - lag(v, 2, CAST(0 AS DOUBLE)) OVER ({P})) / 2 AS w2 FROM v1), "
@@ -41,20 +48,21 @@ SQL = {
     "price_volume_divergence": f"WITH {SLOPES} SELECT symbol, ts, round(corr, 8) AS corr FROM c",
     "divergence_flag": f"WITH {SLOPES} SELECT symbol, ts, CASE WHEN slope > 0 AND corr < 0 THEN -1 WHEN slope < 0 AND corr < 0 THEN 1 ELSE 0 END AS flag FROM c",
     "typical_price": "SELECT symbol, ts, round((high + low + close) / 3, 6) AS typical_price FROM bars",
-    "rolling_vwap": f"SELECT symbol, ts, round(CASE WHEN k >= {W} AND sum(volume) {over(-W + 1)} > 0 THEN sum((high + low + close) / 3 * volume) {over(-W + 1)} / sum(volume) {over(-W + 1)} END, 6) AS vwap FROM rets",
-    "vwap_deviation": f"WITH v AS (SELECT symbol, ts, close, CASE WHEN k >= {W} THEN sum((high + low + close) / 3 * volume) {over(-W + 1)} / nullif(sum(volume) {over(-W + 1)}, 0) END AS vwap FROM rets) SELECT symbol, ts, round(CASE WHEN vwap > 0 THEN close / vwap - 1 END, 8) AS deviation FROM v",
+    "rolling_vwap": f"WITH {VWAP} SELECT symbol, ts, round(vwap, 6) AS vwap FROM vw",
+    "vwap_deviation": f"WITH {VWAP} SELECT symbol, ts, round(CASE WHEN vwap > 0 THEN close / vwap - 1 END, 8) AS deviation FROM vw",
     "twap": "SELECT symbol, ts, round((open + high + low + close) / 4, 6) AS twap FROM bars",
     "amihud_illiquidity": f"SELECT symbol, ts, round(CASE WHEN k >= {W} THEN 1e9 * avg(CASE WHEN volume > 0 THEN abs(ret) / volume END) {over(-W + 1)} END, 8) AS illiquidity FROM rets",
     "standardize_zscore": f"WITH x AS (SELECT symbol, ts, ret, avg(ret) {over(-W, -1)} AS m, stddev_samp(ret) {over(-W, -1)} AS s, count(ret) {over(-W, -1)} AS c FROM rets) SELECT symbol, ts, round(CASE WHEN c < 2 THEN NULL WHEN s > {TOL} * greatest(abs(m), 1.0) THEN greatest(-5.0, least(5.0, (ret - m) / s)) WHEN abs(ret - m) <= {TOL} THEN 0.0 END, 8) AS z FROM x",
-    "standardize_robust": f"WITH x AS (SELECT symbol, ts, k, ret, $pct(ret, 0.5) {over(-W, -1)} AS med, count(ret) {over(-W, -1)} AS c FROM rets), p AS (SELECT a.symbol, a.ts, a.ret, a.med, $pct(abs(b.ret - a.med), 0.5) AS mad FROM x a JOIN x b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {W} AND a.k - 1 WHERE a.c = {W} GROUP BY 1, 2, 3, 4) SELECT symbol, ts, round((ret - med) / nullif(1.4826 * mad, 0), 8) AS z FROM p",
-    "standardize_rank": f"SELECT a.symbol, a.ts, round(2 * (count_if(b.ret < a.ret) + 0.5 * count_if(b.ret = a.ret)) / count(b.ret) - 1, 8) AS rank_score FROM rets a JOIN rets b ON a.symbol = b.symbol AND b.k BETWEEN a.k - {W} AND a.k - 1 WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.symbol, a.ts HAVING count(b.ret) = {W}",
+    # the frame's values are carried as a list: no self-join
+    "standardize_robust": f"WITH x AS (SELECT symbol, ts, ret, $pct(ret, 0.5) {over(-W, -1)} AS med, $list(ret) {over(-W, -1)} AS vs, count(ret) {over(-W, -1)} AS c FROM rets), p AS (SELECT symbol, ts, ret, med, $median_dev(vs, med) AS mad FROM x WHERE c = {W}) SELECT symbol, ts, round((ret - med) / nullif(1.4826 * mad, 0), 8) AS z FROM p",
+    "standardize_rank": f"WITH x AS (SELECT symbol, ts, ret, $list(ret) {over(-W, -1)} AS vs, count(ret) {over(-W, -1)} AS c FROM rets) SELECT symbol, ts, round(2 * ($below(vs, ret) + 0.5 * $equal(vs, ret)) / c - 1, 8) AS rank_score FROM x WHERE c = {W} AND ret IS NOT NULL",
     "detrend_diff": f"SELECT symbol, ts, round(close - lag(close, 3) OVER ({P}), 6) AS diff, round(ln(close) - ln(lag(close, 3) OVER ({P})), 8) AS logdiff FROM bars",
     "detrend_ols": f"SELECT symbol, ts, round(close - ({full('regr_intercept(close, k)', W, 'close')} + {full('regr_slope(close, k)', W, 'close')} * k), 4) AS residual FROM rets",
     "rolling_ols_slope": f"SELECT symbol, ts, round({full('regr_slope(close, k)', W, 'close')}, 6) AS slope FROM rets",
     "modwt_haar": f"WITH {MODWT} SELECT symbol, ts, CASE WHEN i >= 2 THEN round(w1, 10) END AS w1, CASE WHEN i >= 4 THEN round(w2, 10) END AS w2, CASE WHEN i >= 8 THEN round(w3, 10) END AS w3, CASE WHEN i >= 8 THEN round(v3, 10) END AS v3 FROM v3",
-    "scale_energy": f"WITH {MODWT}, q AS (SELECT symbol, sum(w1 * w1) AS e1, sum(w2 * w2) AS e2, sum(w3 * w3) AS e3, sum(v3 * v3) AS ev FROM v3 WHERE i >= 8 GROUP BY symbol) SELECT symbol, round(e1 / (e1 + e2 + e3 + ev), 8) AS e1, round(e2 / (e1 + e2 + e3 + ev), 8) AS e2, round(e3 / (e1 + e2 + e3 + ev), 8) AS e3, round(ev / (e1 + e2 + e3 + ev), 8) AS ev FROM q",
+    "scale_energy": f"WITH {MODWT}, q AS (SELECT symbol, sum(w1 * w1) AS e1, sum(w2 * w2) AS e2, sum(w3 * w3) AS e3, sum(v3 * v3) - count(*) * avg(v3) * avg(v3) AS ev FROM v3 WHERE i >= 8 GROUP BY symbol) SELECT symbol, round(e1 / (e1 + e2 + e3 + ev), 8) AS e1, round(e2 / (e1 + e2 + e3 + ev), 8) AS e2, round(e3 / (e1 + e2 + e3 + ev), 8) AS e3, round(ev / (e1 + e2 + e3 + ev), 8) AS ev FROM q",
     "cross_scale_resonance": f"WITH {MODWT}, q AS (SELECT symbol, ts, w1, w2, w3, avg(w1 * w1) OVER ({P}) AS a1, avg(w2 * w2) OVER ({P}) AS a2, avg(w3 * w3) OVER ({P}) AS a3 FROM v3 WHERE i >= 8) SELECT symbol, ts, round((a1 * sign(w1) + a2 * sign(w2) + a3 * sign(w3)) / nullif(a1 + a2 + a3, 0), 8) AS resonance FROM q",
-    "conditional_lift": "WITH x AS (SELECT symbol, k, ret > 0 AS up, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) AS fwd FROM rets), q AS (SELECT count(*) AS n, avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END) AS p0, count_if(up) AS nc, avg(CASE WHEN up THEN CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END END) AS p1 FROM x WHERE fwd IS NOT NULL AND up IS NOT NULL) SELECT n, nc AS n_cond, round(p0, 10) AS p_uncond, round(p1, 10) AS p_cond, round(p1 / nullif(p0, 0), 10) AS lift, round((p1 + 1.9207294103470494 / nc - 1.959963984540054 * sqrt(p1 * (1 - p1) / nc + 0.9603647051735247 / (nc * nc))) / (1 + 3.8414588206940988 / nc), 8) AS wilson_low, round((p1 + 1.9207294103470494 / nc + 1.959963984540054 * sqrt(p1 * (1 - p1) / nc + 0.9603647051735247 / (nc * nc))) / (1 + 3.8414588206940988 / nc), 8) AS wilson_high, nc < 30 AS power_warning FROM q",
+    "conditional_lift": "WITH x AS (SELECT symbol, k, ret > 0 AS up, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) AS fwd FROM rets), q AS (SELECT count(*) AS n, avg(CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END) AS p0, count_if(up) AS nc, avg(CASE WHEN up THEN CASE WHEN fwd > 0 THEN 1.0 ELSE 0.0 END END) AS p1 FROM x WHERE fwd IS NOT NULL AND up IS NOT NULL) SELECT n, nc AS n_cond, round(p0, 10) AS p_uncond, round(p1, 10) AS p_cond, round(p1 / nullif(p0, 0), 10) AS lift, round((p1 + 1.9207294103470494 / nc - 1.959963984540054 * sqrt(p1 * (1 - p1) / nc + 0.9603647051735247 / (nc * nc))) / (1 + 3.8414588206940988 / nc), 8) AS wilson_low, round((p1 + 1.9207294103470494 / nc + 1.959963984540054 * sqrt(p1 * (1 - p1) / nc + 0.9603647051735247 / (nc * nc))) / (1 + 3.8414588206940988 / nc), 8) AS wilson_high, nc < 30 AS power_warning, round((p1 - p0) / sqrt(p0 * (1 - p0) * (1.0 / nc + 1.0 / n)), 8) AS z FROM q",
     "drawdown_series": "SELECT symbol, ts, round(d, 10) AS drawdown FROM dd",
     "max_drawdown": "SELECT symbol, round(max(d), 10) AS max_drawdown FROM dd GROUP BY symbol",
     "drawdown_table": f"WITH {EPISODES} SELECT symbol, peak, trough, recovery, bars, round(depth, 10) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY depth DESC, peak) AS place FROM h WHERE under > 0) WHERE place <= 5",
@@ -70,7 +78,7 @@ SQL = {
     "complexity_budget": "SELECT symbol, round(2 * 0.05 * count(*) / (3 * nullif(var_samp(r) * 4, 0)), 6) AS budget FROM small GROUP BY symbol",
     "expected_max_drawdown": "WITH q AS (SELECT symbol, avg(r) AS mu, stddev_samp(r) AS s, count(*) AS t FROM small GROUP BY symbol) SELECT symbol, round(1.2533141373155001 * s * sqrt(t), 8) AS driftless, round(CASE WHEN mu > 0 THEN s * s / (2 * mu) * ln(greatest(2 * mu * mu * t / (s * s), 1e-9)) WHEN mu < 0 THEN abs(mu) * t END, 6) AS asymptotic FROM q",
     "signed_momentum": f"SELECT symbol, ts, round(coalesce(ln(lag(close, 1) OVER ({P})) - ln(lag(close, 13) OVER ({P})), 0), 8) AS momentum FROM bars",
-    "ewma_vol": "WITH x AS (SELECT a.symbol, a.ts, b.lret, power(CAST(exp(1.0) AS DOUBLE), -(a.k - b.k) / 6.0) AS wt FROM rets a JOIN rets b ON a.symbol = b.symbol AND b.k BETWEEN a.k - 23 AND a.k AND b.lret IS NOT NULL), m AS (SELECT symbol, ts, sum(wt) AS sw, sum(wt * lret) / sum(wt) AS mu, sum(wt * lret * lret) / sum(wt) AS m2, count(*) AS c FROM x GROUP BY symbol, ts) SELECT symbol, ts, round(sqrt(greatest(m2 - mu * mu, 0) * 12), 8) AS vol FROM m WHERE c = 24",
+    "ewma_vol": f"WITH x AS (SELECT symbol, ts, count(lret) {over(-23)} AS c{''.join(f', lag(lret, {k}) OVER ({P}) AS l{k}' for k in range(24))} FROM rets), m AS (SELECT symbol, ts, ({' + '.join(f'{w!r} * l{k}' for k, w in EWMA)}) / {sum(w for _, w in EWMA)!r} AS mu, ({' + '.join(f'{w!r} * l{k} * l{k}' for k, w in EWMA)}) / {sum(w for _, w in EWMA)!r} AS m2 FROM x WHERE c = 24) SELECT symbol, ts, round(sqrt(greatest(m2 - mu * mu, 0) * 12), 8) AS vol FROM m",
     "direction_vol_target_gross_cap": f"WITH s AS (SELECT symbol, ts, sign(lag(close, 1) OVER ({P}) - lag(close, 7) OVER ({P})) AS dir, {full('stddev_samp(lret)', W, 'lret')} AS vol FROM rets), t AS (SELECT symbol, ts, dir * 0.1 / nullif(vol * sqrt(12), 0) / count(CASE WHEN vol > 0 AND dir IS NOT NULL THEN 1 END) OVER (PARTITION BY ts) AS w FROM s), g AS (SELECT symbol, ts, w, sum(abs(w)) OVER (PARTITION BY ts) AS gross FROM t) SELECT symbol, ts, round(w * least(1.0, 0.05 / nullif(gross, 0)), 8) AS weight FROM g",
     "contract_sizing": "SELECT symbol, ts, CAST($half_even(0.3 * 10000000 / nullif(close * 50, 0), 0) AS BIGINT) AS contracts FROM bars",
     "cubic_signal": f"WITH m AS (SELECT symbol, ts, (ln(close) - ln(lag(close, 6) OVER ({P}))) / nullif({full('stddev_samp(lret)', W, 'lret')} * sqrt(6), 0) AS z FROM rets) SELECT symbol, ts, round(greatest(-1.0, least(1.0, (z - z * z * z / 12.0) / 1.3333333333333333)), 8) AS signal FROM m",

@@ -57,6 +57,20 @@ SPELLING = {
     "$sorted(": ("array_sort(", "list_sort("),
     "$uniq(": ("array_distinct(", "list_distinct("),
     "$str": ("STRING", "VARCHAR"),
+    "$list(": ("collect_list(", "list("),
+    "$zero": ("decode(unhex('00'), 'UTF-8')", "chr(0)"),
+}
+
+
+#: Functions of a list and a value: name -> (Spark, DuckDB).
+LISTS = {
+    "below": (r"size(filter(\1, v -> v < \2))", r"len(list_filter(\1, lambda v: v < \2))"),
+    "equal": (r"size(filter(\1, v -> v = \2))", r"len(list_filter(\1, lambda v: v = \2))"),
+    # of an even number of values
+    "median_dev": (
+        r"(element_at(array_sort(transform(\1, v -> abs(v - \2))), CAST(size(\1) / 2 AS INT)) + element_at(array_sort(transform(\1, v -> abs(v - \2))), CAST(size(\1) / 2 AS INT) + 1)) / 2",
+        r"list_median(list_transform(\1, lambda v: abs(v - \2)))",
+    ),
 }
 
 
@@ -65,6 +79,11 @@ def spell(text: str, duck: bool) -> str:
     text = re.sub(r"(?<![\w.'-])(-?\d+\.\d+)(?![\w.'])", r"\1e0", text)
     if not duck:
         text = re.sub(r"last_value\(((?:[^()]|\([^()]*\))+) IGNORE NULLS\)", r"last_value(\1) IGNORE NULLS", text)
+    # how often a word is in a list of words
+    tally = r"len(list_filter(\1, lambda w: w = \2))" if duck else r"size(filter(\1, w -> w = \2))"
+    text = re.sub(r"\$tally\((\w+), ('[^']*')\)", tally, text)
+    for name, (spark, own) in LISTS.items():
+        text = re.sub(rf"\${name}\((\w+), (\w+)\)", own if duck else spark, text)
     for k, v in SPELLING.items():
         text = text.replace(k, v[duck])
     return text.replace(" AS STRING)", " AS VARCHAR)") if duck else text
