@@ -74,13 +74,12 @@ class Tree:
         return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of a and j of b (unit vectors) with cosine >= threshold, all of them."""
+def linked(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float):
+    """Rows i of a and j of b (unit vectors) with cosine >= threshold, all of them, in parts of a pair of strips each."""
     ra, rb = a @ rotation, b @ rotation
     rest = lambda r, k: np.sqrt(np.maximum((r[:, k:] ** 2).sum(1), 0))
     d = a.shape[1]
     stages = [k for k in STAGES if k < d]
-    out_i, out_j = [], []
     for lo in range(0, len(a), STRIP):
         for to in range(0, len(b), STRIP):
             x, y, rx, ry = a[lo : lo + STRIP], b[to : to + STRIP], ra[lo : lo + STRIP], rb[to : to + STRIP]
@@ -102,9 +101,7 @@ def linked(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float)
             else:
                 ok = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
                 i, j = i[ok], j[ok]
-            out_i.append(i + lo)
-            out_j.append(j + to)
-    return np.concatenate(out_i), np.concatenate(out_j)
+            yield i + lo, j + to
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -178,21 +175,26 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> tuple[DataFrame,
                 yield pa.record_batch([b.column("rep"), b.column("weight"), b.column("embedding"), pa.array(tree.place(y[:, :lead])), pa.array(y[:, :lead].tolist(), pa.list_(pa.float64()))], names=["rep", "weight", "embedding", "leaf", "lead"])
 
     placed = saved(classes.select("rep", "weight", "embedding").mapInArrow(place, "rep long, weight long, embedding array<double>, leaf long, lead array<double>"))
-    boxes = placed.groupBy("leaf").agg(F.count("*"), *(f(F.get("lead", F.lit(k))) for k in range(lead) for f in (F.min, F.max))).collect()  # a row for each leaf
+    boxes = sorted(placed.groupBy("leaf").agg(F.count("*"), *(f(F.get("lead", F.lit(k))) for k in range(lead) for f in (F.min, F.max))).collect())  # a row for each leaf
     # A leaf that holds more than a tile (as near copies do) is cut by a hash into tiles with the same box.
-    tiles = [(leaf, s, np.array(box[::2]), np.array(box[1::2])) for leaf, count, *box in sorted(boxes) for s in range(-(-count // tile))]
-    salts = {leaf: -(-count // tile) for leaf, count, *_ in boxes}
+    many = np.array([-(-box[1] // tile) for box in boxes], np.int64)
+    leaf = np.array([box[0] for box in boxes], np.int64)
+    low, high = (np.repeat(np.array([box[2 + side :: 2] for box in boxes], float).reshape(len(boxes), lead), many, 0) for side in (0, 1))
+    tiles = int(many.sum())
     reach = 2 * (1 - threshold) + 1e-6  # squared distance of unit vectors that just reach the threshold
-    pairs = []
-    for p, (l1, s1, lo1, hi1) in enumerate(tiles):
-        for q in range(p, len(tiles)):
-            l2, s2, lo2, hi2 = tiles[q]
-            gap = np.maximum(0, np.maximum(lo1 - hi2, lo2 - hi1))
-            if gap @ gap <= reach:
-                pairs += [(len(tiles) * p + q, l1, s1, 0)] + ([(len(tiles) * p + q, l2, s2, 1)] if p != q else [])
-    plan = spark.createDataFrame(pairs, "pair long, leaf long, salt long, side int")
-    salt = F.pmod(F.xxhash64("rep"), F.create_map(*[F.lit(v) for kv in salts.items() for v in kv])[F.col("leaf")])
-    dealt = placed.select("rep", "weight", "embedding", "leaf", salt.cast("long").alias("salt")).join(plan, ["leaf", "salt"])
+
+    def meeting(batches):
+        """(pair, tile, side) of all pairs of tiles whose boxes meet, from the first tile of each: a row for each side."""
+        for b in batches:
+            for p in b.column("id").to_pylist():
+                gap = np.maximum(0, np.maximum(low[p:] - high[p], low[p] - high[p:]))
+                q = np.flatnonzero((gap * gap).sum(1) <= reach) + p
+                pair, other = tiles * p + q, q != p
+                yield pa.record_batch([pa.array(np.concatenate([pair, pair[other]])), pa.array(np.concatenate([np.full(len(q), p), q[other]])), pa.array(np.repeat([0, 1], [len(q), int(other.sum())]).astype(np.int32))], names=["pair", "tile", "side"])
+
+    plan = saved(spark.range(tiles, numPartitions=max(1, min(tiles, 1024))).mapInArrow(meeting, "pair long, tile long, side int"))
+    first = spark.createDataFrame(pa.table([pa.array(leaf), pa.array(np.cumsum(many) - many), pa.array(many)], names=["leaf", "first", "many"]))
+    dealt = placed.join(first, "leaf").withColumn("tile", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("many"))).select("rep", "weight", "embedding", "tile").join(plan, "tile")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -202,17 +204,19 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> tuple[DataFrame,
         right = np.flatnonzero(side == 1)
         same = not (side == 1).any()
         right = left if same else right[np.argsort(rep[right])]
-        i, j = linked(x[left], x[right], rotation, threshold)
-        i, j = left[i], right[j]
-        if same:
-            i, j = i[i != j], j[i != j]
-            n = np.bincount(i, weight[j], len(x)).astype(np.int64)
-        else:
-            n = (np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))).astype(np.int64)
         order = np.argsort(rep, kind="stable")
         rank = np.empty(len(rep), np.int64)
         rank[order] = np.arange(len(rep))
-        root = rep[order][forest(len(rep), rank[i], rank[j])][rank]
+        n, label = np.zeros(len(x)), np.arange(len(rep))
+        for i, j in linked(x[left], x[right], rotation, threshold):
+            i, j = left[i], right[j]
+            if same:
+                i, j = i[i != j], j[i != j]
+            n += np.bincount(i, weight[j], len(x))
+            if not same:
+                n += np.bincount(j, weight[i], len(x))
+            label = forest(len(rep), label[rank[i]], label[rank[j]])[label]
+        n, root = n.astype(np.int64), rep[order][label][rank]
         some = np.flatnonzero(n > 0)
         return pa.table([pa.array(rep[some]), pa.array(n[some]), pa.array(root[some])], names=["rep", "n", "root"])
 
