@@ -162,6 +162,22 @@ def discard(*tables: DataFrame) -> None:
         _remove(_made.pop(df.saved_at), df.saved_at)
 
 
+#: Rows of one long column that may be broadcast: 16 MB of them.
+SMALL = 1 << 20
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """A saved table of keys, marked for broadcast if it has no more than SMALL rows; a join with a larger one shuffles."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def pieces(batches, rows: int = 512):
+    """Record batches in parts of a few rows, so that only so many are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def numbered(docs: DataFrame, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
     """(docs with a long column `row` that tells rows apart, (row, id) or None if `row` is the id itself).
 
@@ -214,7 +230,7 @@ def squeezed(df: DataFrame, key: str = "doc_id", some: np.ndarray | None = None)
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in pieces(batches):
             if some is not None:
                 slot = b.column("slot").to_numpy()
                 b = b.filter(pa.array(some[slot >> 3] >> (slot & 7) & 1 == 1))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coefficients, discard, hash_spans, mix, ngrams, numbered, saved, slices, squeezed, within, words
+from .common import coefficients, discard, hash_spans, mix, ngrams, numbered, pieces, saved, slices, squeezed, within, words
 
 WIDTH, ANCHOR, SHARD_SEGMENTS = 35, 8, 1000
 
@@ -178,7 +178,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in pieces(batches):
             out: list = []
             for packed, want in zip(b.column("packed").to_pylist(), b.column("want").to_pylist(), strict=True):
                 w = unpack(packed).split() if packed else []
@@ -202,7 +202,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                 out.extend((a, seg, bits << base) for s, (_, a, seg, base, _, _) in zip(sequences, open_, strict=True) if (bits := sam.repeated(s, width)))
                 open_.clear()
 
-        for b in batches:
+        for b in pieces(batches, 2048):
             for row in zip(*(b.column(c).to_pylist() for c in ("shard", "anchor", "seg", "base", "times", "words")), strict=True):
                 if open_ and open_[0][0] != row[0]:
                     close()
@@ -221,7 +221,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
 
     def halve(batches):
         """Of windows with low to high words before the anchor, those of each half, with the words that they cover."""
-        for b in batches:
+        for b in pieces(batches, 2048):
             out: list = []
             for a, seg, base, times, place, low, high, text in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "base", "times", "place", "low", "high", "words")), strict=True):
                 w = text.split()
@@ -275,7 +275,7 @@ def kept_by_row(docs: DataFrame, width: int = WIDTH, **more) -> DataFrame:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in pieces(batches):
             n, gone, sha, kept = [], [], [], []
             for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 w = unpack(packed).split() if packed else []
