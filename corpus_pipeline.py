@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomline import ship
 from fathomline.llm import decontamination, minhash, packing, quality, substrings
-from fathomline.llm.common import numbered, saved, table
+from fathomline.llm.common import numbered, saved, sized, table
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     rows = _rows(docs)
-    kept = minhash.near_duplicates(_texts(rows), shingle=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("row"))
-    return _back(rows.join(kept, "row", "left_semi"), docs)
+    gone = saved(minhash.near_duplicates(_texts(rows), shingle=5, num=80, den=100).where("not kept").select(F.col("doc_id").alias("row")))
+    return _back(rows.join(sized(gone), "row", "left_anti"), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no copy of a test item; rows with one id or none are judged each by its own text."""
     ship(spark)
     rows = _rows(docs)
-    found = decontamination.contaminated(_texts(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
-    return _back(rows.join(found, "row", "left_anti"), docs)
+    found = saved(decontamination.contaminated(_texts(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
+    return _back(rows.join(sized(found), "row", "left_anti"), docs)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
