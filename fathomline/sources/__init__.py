@@ -53,4 +53,4 @@ def atom(df: DataFrame, column: str) -> DataFrame:
 
 def split_authors(c):
     """Names between semicolons or the word `and`."""
-    return F.filter(F.transform(F.split(c, r";|\sand\s"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r";|\sand\s"), lambda x: F.trim(x)), lambda x: x != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
@@ -21,10 +21,19 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return s.select("user_id", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last"), "n")
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch sink that appends each batch once under its own number; readers keep the last of each key."""
+def upsert_into(path: str, keys: list[str], order: str):
+    """A foreachBatch sink: each batch, with the last row of each key by `order`, goes under its own number, so that a batch
+    that is written again replaces itself. `latest` reads what holds."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+        batch.withColumn("_last", last).where("_last = 1").drop("_last").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of the batches under a path, the row of each key from the greatest batch."""
+    rows = spark.read.parquet(path)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
+    return rows.withColumn("_last", last).where("_last = 1").drop("_last", "batch")
