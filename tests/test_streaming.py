@@ -15,7 +15,7 @@ def at(minutes: int) -> dt.datetime:
 
 def test_sessions_close_after_a_gap_and_late_rows_are_left_out(spark, tmp_path):
     schema = "user_id int, ts timestamp"
-    for name, rows in (("1", [(1, at(0)), (1, at(20)), (1, at(90))]), ("2", [(2, at(600))]), ("3", [(1, at(5)), (2, at(900))])):
+    for name, rows in (("1", [(1, at(0)), (1, at(20)), (1, at(90))]), ("2", [(2, at(600))]), ("3", [(2, at(610))]), ("4", [(1, at(5)), (2, at(900))])):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     q = streaming.sessions(stream).writeStream.format("memory").queryName("closed_sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
