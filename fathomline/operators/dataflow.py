@@ -80,3 +80,83 @@ class Registry:
                 cache[keys[i]] = got if isinstance(got, dict) else {next(iter(kind.outputs)): got}
             out[i] = cache[keys[i]]
         return out
+
+
+@dataclass(frozen=True)
+class Diagram:
+    """Nodes and edges with what is open on either side: `wants` holds (node, port, type) of unfed inputs by port name,
+    `gives` the output of each name. a >> b feeds b's inputs from a's outputs of the same names; a @ b puts both side by
+    side."""
+
+    nodes: tuple = ()
+    edges: tuple = ()
+    wants: dict = field(default_factory=dict)
+    gives: dict = field(default_factory=dict)
+
+    def _with(self, other: Diagram, edges: list, wants: dict) -> Diagram:
+        if clash := {n["id"] for n in self.nodes} & {n["id"] for n in other.nodes}:
+            raise GraphError(f"node ids occur twice: {sorted(clash)}")
+        both = {k: (*self.wants.get(k, ()), *wants.get(k, ())) for k in [*self.wants, *wants]}
+        return Diagram(self.nodes + other.nodes, (*self.edges, *other.edges, *edges), both, self.gives | other.gives)
+
+    def __rshift__(self, other: Diagram) -> Diagram:
+        edges = []
+        for name in other.wants.keys() & self.gives.keys():
+            a, out, have = self.gives[name]
+            for b, port, want in other.wants[name]:
+                if not accepts(want, have):
+                    raise GraphError(f"{a}.{out}: {have} does not fit {b}.{port}: {want}")
+                edges.append({"from": [a, out], "to": [b, port]})
+        return self._with(other, sorted(edges, key=str), {k: v for k, v in other.wants.items() if k not in self.gives})
+
+    def __matmul__(self, other: Diagram) -> Diagram:
+        if clash := self.gives.keys() & other.gives.keys():
+            raise GraphError(f"ambiguous outputs: {sorted(clash)}")
+        return self._with(other, [], other.wants)
+
+    def signature(self) -> str:
+        wants = sorted({f"{k}: {t}" for k, v in self.wants.items() for *_, t in v})
+        return f"({', '.join(wants)}) -> ({', '.join(sorted(f'{k}: {t}' for k, (*_, t) in self.gives.items()))})"
+
+    def graph(self) -> dict:
+        if self.wants:
+            raise GraphError(f"open inputs: {sorted(f'{n}.{p}' for v in self.wants.values() for n, p, _ in v)}")
+        return {"nodes": [dict(n) for n in self.nodes], "edges": [dict(e) for e in self.edges]}
+
+
+def box(registry: Registry, kind: str, name: str | None = None, **params) -> Diagram:
+    """One node of a registered type."""
+    if kind not in registry.types:
+        raise GraphError(f"unknown type {kind}")
+    t, name = registry.types[kind], name or kind
+    if more := set(params) - set(t.params):
+        raise GraphError(f"{name}: unknown parameters {sorted(more)}")
+    return Diagram(({"id": name, "type": kind, "params": params},), (), {p: ((name, p, x),) for p, x in t.inputs.items()}, {p: (name, p, x) for p, x in t.outputs.items()})
+
+
+def unavailable(graph: dict, missing: set[str]) -> set[str]:
+    """Nodes without what they need: those missing, and all that are fed from them."""
+    out = set(missing)
+    while more := {e["to"][0] for e in graph["edges"] if e["from"][0] in out} - out:
+        out |= more
+    return out
+
+
+def standard() -> Registry:
+    """Node types of market data, features, signals, sizing, simulation and statistics, over frames keyed by symbol and ts."""
+    from pyspark.sql import functions as F
+
+    from . import portfolio, validation, volume
+
+    r = Registry()
+    bars, signal, weight, pnl = {"bars": "Frame[bars]"}, {"signal": "Frame[signal]"}, {"weights": "Frame[weights]"}, {"pnl": "Frame[pnl]"}
+    put = lambda name, run, inputs, outputs, **params: r.register(name, run, inputs, outputs, **params)
+    put("data.frame", lambda i, p: p["frame"], {}, bars, frame=None)
+    put("feature.excess_volume", lambda i, p: volume.excess_volume(i["bars"], p["window"]), bars, {"features": "Frame[features]"}, window=20)
+    put("feature.signed_momentum", lambda i, p: volume.detrend(i["bars"], "close", "logdiff", p["lookback"], out="momentum"), bars, {"features": "Frame[features]"}, lookback=12)
+    put("signal.direction", lambda i, p: i["features"].withColumn("direction", F.signum(p["column"])), {"features": "Frame[features]"}, signal, column="momentum")
+    put("sizing.fixed", lambda i, p: i["signal"].withColumn("weight", F.col("direction") * p["exposure"]), signal, weight, exposure=1.0)
+    put("backtest.vector", lambda i, p: portfolio.simulate(i["weights"].withColumn("ret", F.col("close") / F.lag("close").over(volume.Window.partitionBy("symbol").orderBy("ts")) - 1), "weight", "close", "ret", whole=p["whole"]), weight, pnl, whole=False)
+    put("validation.report", lambda i, p: validation.validation_report(i["pnl"], p["trials"], ret="pnl"), pnl, {"report": "Frame[report]"}, trials=1)
+    put("stat.facts", lambda i, p: validation.facts(i["pnl"], ret="pnl"), pnl, {"facts": "Frame[facts]"})
+    return r

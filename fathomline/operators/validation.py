@@ -212,3 +212,77 @@ def first_of_class(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Triage of candidates: the first row of each class is its representative, the others name it."""
     w = Window.partitionBy(*key).orderBy(order)
     return df.withColumns({"duplicate": F.row_number().over(w) > 1, "representative": F.first(order).over(w)})
+
+
+def variance_ratio(df: DataFrame, qs: tuple[int, ...] = (2, 4, 8, 16), value: str = "r", by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """by, q, vr (1 for a random walk), z and p, and z_het and p_het that allow for changing variance: a row for each q.
+    Keys with under 2 q values have none for that q. Lagged products come from one window, not from joins."""
+    part = Window.partitionBy(by)
+    order = part.orderBy(ts)
+    top = max(qs)
+    df = df.where(F.col(value).isNotNull()).withColumns({"_c": F.col(value) - F.avg(value).over(part), "_i": F.row_number().over(order)})
+    df = df.withColumns({f"_l{k}": F.lag("_c", k).over(order) for k in range(1, top)} | {f"_b{q}": F.when(F.col("_i") >= q, F.sum("_c").over(order.rowsBetween(1 - q, 0))) for q in qs})
+    sq = lambda c: F.col(c) * F.col(c)
+    s = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(sq("_c")).alias("g"), *[F.sum(sq("_c") * sq(f"_l{k}")).alias(f"_h{k}") for k in range(1, top)], *[F.sum(sq(f"_b{q}")).alias(f"_e{q}") for q in qs])
+    rows = []
+    for q in qs:
+        vr = F.col(f"_e{q}") / (q * (F.col("n") - q + 1) * (1 - q / F.col("n"))) / (F.col("g") / (F.col("n") - 1))
+        theta = sum(((2 * (q - k) / q) ** 2 * F.col(f"_h{k}") for k in range(1, q)), F.lit(0.0)) / (F.col("g") * F.col("g"))
+        rows.append(F.when(F.col("n") >= 2 * q, F.struct(F.lit(q).alias("q"), vr.alias("vr"), ((vr - 1) / F.sqrt(2 * (2 * q - 1) * (q - 1) / (3 * q * F.col("n")))).alias("z"), ((vr - 1) / F.sqrt(F.nullif(theta, F.lit(0.0)))).alias("z_het"))))
+    out = s.select(by, F.explode(F.array_compact(F.array(*rows))).alias("x")).select(by, "x.*")
+    return out.withColumns({"p": tails.normal_two_sided(F.col("z")), "p_het": tails.normal_two_sided(F.col("z_het"))})
+
+
+def runs_test(df: DataFrame, value: str = "r", by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """by, runs, z and p of runs of one sign; zeros are left out."""
+    s = df.where(F.col(value) != 0).withColumn("_s", F.signum(value))
+    s = s.withColumn("_p", F.lag("_s").over(Window.partitionBy(by).orderBy(ts)))
+    g = s.groupBy(by).agg((1 + F.count_if(F.col("_s") != F.col("_p"))).alias("runs"), F.count_if(F.col("_s") > 0).cast("double").alias("a"), F.count_if(F.col("_s") < 0).cast("double").alias("b"))
+    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    z = (F.col("runs") - (2 * a * b / n + 1)) / F.nullif(F.sqrt(2 * a * b * (2 * a * b - n) / (n * n * (n - 1))), F.lit(0.0))
+    return g.withColumn("z", z).select(by, "runs", "z", tails.normal_two_sided(F.col("z")).alias("p"))
+
+
+def permutation_entropy(df: DataFrame, m: int = 3, value: str = "r", by: str = "symbol", ts: str = "ts") -> DataFrame:
+    """by, entropy of the orders of m values in a row (earlier ones first at ties), 1 if all orders are as frequent."""
+    order = Window.partitionBy(by).orderBy(ts)
+    df = df.where(F.col(value).isNotNull()).withColumn("_v", F.collect_list(value).over(order.rowsBetween(1 - m, 0))).where(F.size("_v") == m)
+    code = F.concat_ws(",", F.transform(F.array_sort(F.transform("_v", lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda x: x["i"].cast("string")))
+    n = df.groupBy(by, code.alias("_o")).agg(F.count("*").alias("_n")).withColumn("_p", F.col("_n") / F.sum("_n").over(Window.partitionBy(by)))
+    return n.groupBy(by).agg((0.0 - F.sum(F.col("_p") * F.log("_p")) / math.log(math.factorial(m))).alias("entropy"))
+
+
+#: Weights of the suitability score, and where its parts begin and are full.
+WEIGHTS = {"variance_ratio": 35.0, "ljung_box": 25.0, "runs": 15.0, "entropy": 15.0, "hurst": 10.0}
+ENTROPY_FROM, ENTROPY_SPAN, HURST_SPAN, SUITABLE, MARGINAL = 0.99, 0.10, 0.15, 55.0, 25.0
+
+
+def suitability(df: DataFrame, alpha: float = 0.05, value: str = "r", by: str = "symbol", ts: str = "ts", qs: tuple[int, ...] = (2, 4, 8, 16), lags: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """How far a series can be told from a random walk: the parts' scores, score (0 to 100) and verdict.
+
+    The share of q whose variance ratio rejects (allowing for changing variance), Ljung-Box at any of the lags, runs,
+    entropy of orders of four below 0.99, and the distance of the exponent of detrended fluctuation from a half.
+    """
+    from . import kernels
+
+    def exponent(p: pd.DataFrame) -> pd.DataFrame:
+        x = p.sort_values(ts, kind="stable")[value].dropna().to_numpy(float)
+        h = kernels.dfa(x) if len(x) >= 16 else math.nan
+        return pd.DataFrame([(p[by].iloc[0], len(x), None if math.isnan(h) else h)], columns=[by, "n", "dfa"])
+
+    kind = df.schema[by].dataType.simpleString()
+    h = df.select(by, ts, value).groupBy(by).applyInPandas(exponent, f"{by} {kind}, n long, dfa double")
+    vr = variance_ratio(df, qs, value, by, ts).groupBy(by).agg(F.avg((F.col("p_het") < alpha).cast("double")).alias("_vr"))
+    lb = ljung_box(df, lags, value=value, by=by, ts=ts).groupBy(by).agg(F.min("p").alias("_lb"))
+    rt = runs_test(df, value, by, ts).select(by, F.col("p").alias("_rt"))
+    pe = permutation_entropy(df, 4, value, by, ts)
+    all_ = h.join(vr, by, "left").join(lb, by, "left").join(rt, by, "left").join(pe, by, "left")
+    unit = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    parts = {
+        "variance_ratio": unit(F.col("_vr")), "ljung_box": unit((F.col("_lb") < alpha).cast("double")), "runs": unit((F.col("_rt") < alpha).cast("double")),
+        "entropy": unit((ENTROPY_FROM - F.col("entropy")) / ENTROPY_SPAN), "hurst": unit(F.abs(F.col("dfa") - 0.5) / HURST_SPAN),
+    }
+    out = all_.withColumns({f"{k}_score": WEIGHTS[k] * c for k, c in parts.items()})
+    out = out.withColumn("score", sum(F.col(f"{k}_score") for k in parts))
+    verdict = F.when(F.col("score") >= SUITABLE, "suitable").when(F.col("score") >= MARGINAL, "marginal").otherwise("unsuitable")
+    return out.select(by, "n", *[f"{k}_score" for k in parts], "score", verdict.alias("verdict"))

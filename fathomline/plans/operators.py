@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import ship
 from ..functions import vocabulary as V
 from ..operators import causal, classify, library, portfolio, risk, validation, volume
-from . import series
+from . import panel, series
 from .views import expand, query, spell
 
 W = series.W
@@ -184,6 +184,8 @@ QUERIES = FACTORS | {
     "ljung_box_absolute": on(SMALL, lambda d: validation.ljung_box(d, (4, 10), absolute=True, by="symbol").select("symbol", "lags", F.round("q", 6).alias("q"), F.round("p", 6).alias("p"))),
     "t_test_with_p": on(SMALL, lambda d: validation.t_test(d).select("symbol", "n", F.round("t", 6).alias("t"), F.round("p", 8).alias("p"))),
     "probabilistic_sharpe": on(SMALL, lambda d: validation.deflated_sharpe(d, 20).select("symbol", "n", *[F.round(c, 6).alias(c) for c in ("sr", "psr", "benchmark", "dsr")])),
+    "suitability": on(SMALL, lambda d: validation.suitability(d, qs=(2, 4, 8)).withColumn("score", F.round("score", 6))),
+    "variance_ratio_profile": on(SMALL, lambda d: validation.variance_ratio(d).select("symbol", F.col("q").cast("double").alias("q"), F.round("vr", 8).alias("vr"), *[F.round(c, 6).alias(c) for c in ("z", "p", "z_het", "p_het")])),
     "cpcv_splits": on("SELECT DISTINCT CAST(k - 1 AS BIGINT) AS k FROM rets", lambda d: validation.cpcv(d, 6, 2, 1).groupBy("split").agg(F.count_if(F.col("role") == "test").alias("test"), F.count_if(F.col("role") == "train").alias("train"), F.sum(F.when(F.col("role") == "test", F.col("k"))).alias("checksum"))),
     "pbo_by_sharpe": on(SMALL, lambda d: validation.pbo(d)),
     "validation_report": on(SMALL, _report),
@@ -277,4 +279,4 @@ def _duck(text: str) -> str:
     return spell(expand(text), True)
 
 
-ORACLES = {name: _duck(text) for name, text in RAW.items()}
+ORACLES = {name: _duck(text) for name, text in RAW.items()} | {"variance_ratio_profile": _duck(panel.SQL["variance_ratio"])}

@@ -341,3 +341,50 @@ def test_frames_in_force_and_guards(spark):
     known = spark.createDataFrame([(1, day(0), 5), (2, day(2), 9), (3, None, 99)], "id int, known date, score int")
     seen = joins.visible_top(known, spark.createDataFrame([(day(i),) for i in range(1, 4)], "at date"), "known", "at", 1, "score", "id", 1).orderBy("at").collect()
     assert [(r.at, r.id) for r in seen] == [(day(1), 1), (day(2), 1), (day(3), 2)]
+
+
+def test_random_walks_and_trends_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=400)
+    trend = np.zeros(400)
+    for i in range(1, 400):
+        trend[i] = 0.6 * trend[i - 1] + e[i]
+    df = spark.createDataFrame([(s, day(i), float(x)) for s, v in (("noise", rng.normal(size=400)), ("trend", trend)) for i, x in enumerate(v)], "symbol string, ts date, r double")
+    got = {r.symbol: r for r in validation.suitability(df).collect()}
+    assert got["noise"].verdict == "unsuitable" and got["trend"].verdict == "suitable" and got["trend"].score > got["noise"].score
+    c = trend - trend.mean()
+    for r in validation.variance_ratio(df).where("symbol = 'trend'").collect():
+        q, n = r.q, 400
+        sums = np.convolve(c, np.ones(q), "valid")
+        assert r.vr == pytest.approx((sums @ sums) / (q * (n - q + 1) * (1 - q / n)) / (c @ c / (n - 1)))
+        theta = sum((2 * (q - k) / q) ** 2 * (c[k:] ** 2 @ c[:-k] ** 2) for k in range(1, q)) / (c @ c) ** 2
+        assert r.z_het == pytest.approx((r.vr - 1) / math.sqrt(theta))
+    s = np.sign(trend[trend != 0])
+    assert {r.symbol: r.runs for r in validation.runs_test(df).collect()}["trend"] == 1 + (s[1:] != s[:-1]).sum()
+    codes = [tuple(np.argsort(trend[i : i + 3], kind="stable")) for i in range(398)]
+    p = np.unique(codes, axis=0, return_counts=True)[1] / 398
+    assert {r.symbol: r.entropy for r in validation.permutation_entropy(df).collect()}["trend"] == pytest.approx(-(p * np.log(p)).sum() / math.log(6))
+
+
+def test_diagrams_compose_and_run(spark):
+    from fathomline.operators import dataflow
+    from fathomline.operators.dataflow import GraphError, box, standard
+
+    r = standard()
+    frame = bars(spark, [10 + math.sin(i / 3) + i / 10 for i in range(60)], [1] * 60)
+    data = box(r, "data.frame")
+    chain = box(r, "feature.signed_momentum", lookback=3) >> box(r, "signal.direction") >> box(r, "sizing.fixed", exposure=0.5) >> box(r, "backtest.vector")
+    assert chain.signature() == "(bars: Frame[bars]) -> (features: Frame[features], pnl: Frame[pnl], signal: Frame[signal], weights: Frame[weights])"
+    with pytest.raises(GraphError, match="open inputs"):
+        chain.graph()
+    graph = (data >> chain).graph()
+    assert dataflow.unavailable(graph, {"signal.direction"}) == {"signal.direction", "sizing.fixed", "backtest.vector"}
+    r.types["data.frame"].run = lambda i, p: frame
+    out = r.execute(graph)["backtest.vector"]["pnl"]
+    assert out.count() == 60 and out.where("pnl <> 0").count() > 40
+    with pytest.raises(GraphError, match="ambiguous"):
+        data @ data
+    with pytest.raises(GraphError, match="unknown parameters"):
+        box(r, "sizing.fixed", leverage=2)
+    with pytest.raises(GraphError, match="does not fit"):
+        box(r, "data.frame", "d") >> dataflow.Diagram((), (), {"bars": (("x", "bars", "Frame[other]"),)})
