@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import ship
 from ..functions import vocabulary as V
-from ..operators import causal, classify, library, portfolio, risk, validation, volume
+from ..operators import causal, classify, library, multiscale, portfolio, risk, validation, volume
 from . import panel, series
 from .views import expand, query, spell
 
@@ -184,6 +184,11 @@ QUERIES = FACTORS | {
     "ljung_box_absolute": on(SMALL, lambda d: validation.ljung_box(d, (4, 10), absolute=True, by="symbol").select("symbol", "lags", F.round("q", 6).alias("q"), F.round("p", 6).alias("p"))),
     "t_test_with_p": on(SMALL, lambda d: validation.t_test(d).select("symbol", "n", F.round("t", 6).alias("t"), F.round("p", 8).alias("p"))),
     "probabilistic_sharpe": on(SMALL, lambda d: validation.deflated_sharpe(d, 20).select("symbol", "n", *[F.round(c, 6).alias(c) for c in ("sr", "psr", "benchmark", "dsr")])),
+    "modwt_haar": on(SMALL, lambda d: multiscale.modwt(d, 3).select("symbol", "ts", *[F.round(c, 10).alias(c) for c in ("w1", "w2", "w3", "v3")])),
+    "modwt_d4": on(SMALL, lambda d: multiscale.modwt(d, 2, "d4").select("symbol", "ts", *[F.round(c, 10).alias(c) for c in ("w1", "w2", "v2")])),
+    "cross_scale_resonance": on(SMALL, lambda d: multiscale.resonance(d, 3).where("resonance is not null").select("symbol", "ts", F.round("resonance", 8).alias("resonance"))),
+    "mra_parts": on(SMALL, lambda d: multiscale.mra(d, 3)),
+    "lift_by_symbol": on("SELECT symbol, ret > 0 AS up, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) > 0 AS next_up FROM rets WHERE ret IS NOT NULL", lambda d: multiscale.conditional_lift(d, F.col("up"), F.col("next_up"), ["symbol"]).select("symbol", "n", "n_cond", F.round("lift", 8).alias("lift"), F.round("z", 6).alias("z"))),
     "suitability": on(SMALL, lambda d: validation.suitability(d, qs=(2, 4, 8)).withColumn("score", F.round("score", 6))),
     "variance_ratio_profile": on(SMALL, lambda d: validation.variance_ratio(d).select("symbol", F.col("q").cast("double").alias("q"), F.round("vr", 8).alias("vr"), *[F.round(c, 6).alias(c) for c in ("z", "p", "z_het", "p_het")])),
     "cpcv_splits": on("SELECT DISTINCT CAST(k - 1 AS BIGINT) AS k FROM rets", lambda d: validation.cpcv(d, 6, 2, 1).groupBy("split").agg(F.count_if(F.col("role") == "test").alias("test"), F.count_if(F.col("role") == "train").alias("train"), F.sum(F.when(F.col("role") == "test", F.col("k"))).alias("checksum"))),
@@ -233,7 +238,13 @@ def _tails(d: DataFrame) -> DataFrame:
 _CHI = "exp(-x / 2) * (1" + "".join(f" + CASE WHEN df > {2 * i} THEN power(x / 2, {i}) / {math.factorial(i)}.0 ELSE 0 END" for i in range(1, 6)) + ")"
 _RANK = "list_transform(L, lambda e: len(list_filter(L, lambda o: o < e)) + (len(list_filter(L, lambda o: o = e)) + 1) / 2.0)"
 
+_G, _H = multiscale.filters("d4")
+_P = "OVER (PARTITION BY symbol ORDER BY ts)"
+_tap = lambda f, c, step: " + ".join(f"({a!r}) * lag({c}, {step * k}, 0.0) {_P}" for k, a in enumerate(map(float, f)))
+
 RAW = {
+    "modwt_d4": f"WITH a AS (SELECT symbol, ts, row_number() {_P} AS i, {_tap(_H, 'r', 1)} AS w1, {_tap(_G, 'r', 1)} AS v1 FROM small), b AS (SELECT symbol, ts, i, w1, {_tap(_H, 'v1', 2)} AS w2, {_tap(_G, 'v1', 2)} AS v2 FROM a) SELECT symbol, ts, CASE WHEN i >= 4 THEN round(w1, 10) END AS w1, CASE WHEN i >= 10 THEN round(w2, 10) END AS w2, CASE WHEN i >= 10 THEN round(v2, 10) END AS v2 FROM b",
+    "lift_by_symbol": "WITH x AS (SELECT symbol, ret > 0 AS up, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) > 0 AS y FROM rets WHERE ret IS NOT NULL), q AS (SELECT symbol, count(*) AS n, count_if(up) AS n_cond, count_if(y) AS k, count_if(up AND y) AS kc FROM x WHERE y IS NOT NULL GROUP BY symbol), s AS (SELECT *, 1.0 * k / n AS p0, 1.0 * kc / n_cond AS p1, 1.0 * (k + kc) / (n + n_cond) AS p FROM q) SELECT symbol, n, n_cond, round(p1 / p0, 8) AS lift, round((p1 - p0) / sqrt(p * (1 - p) * (1.0 / n + 1.0 / n_cond)), 6) AS z FROM s",
     "classify_paper": f"WITH p AS ({PAPERS}), s AS (SELECT *, {_score(V.FACTOR)} AS factor_score, {_score(V.STRATEGY)} AS strategy_score FROM p) SELECT doc_id, factor_score, strategy_score, CASE WHEN factor_score > strategy_score THEN 'factor' ELSE 'strategy' END AS kind, array_to_string(CASE WHEN factor_score > strategy_score THEN {_tags(V.FACTOR_SUBCATS)} ELSE {_tags(V.STRATEGY_SUBCATS)} END, ',') AS subcats FROM s",
     "relevance_of_papers": f"WITH p AS ({PAPERS}) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, '(?i){'|'.join(f'(?:{p})' for p in V.RELEVANCE)}', 0), lambda x: lower(x)))), ',') AS hits FROM p WHERE {_any(V.RELEVANCE)}",
     "template_of_papers": f"WITH p AS ({PAPERS}), m AS (SELECT doc_id, {_matched(V.TEMPLATES['momentum'])} AS a, {_matched(V.TEMPLATES['mean_reversion'])} AS b FROM p) SELECT doc_id, CASE WHEN len(a) > 0 THEN 'momentum' WHEN len(b) > 0 THEN 'mean_reversion' ELSE 'buy_and_hold' END AS template, array_to_string(CASE WHEN len(a) > 0 THEN a ELSE b END, ',') AS matched FROM m",

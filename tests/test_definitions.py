@@ -388,3 +388,42 @@ def test_diagrams_compose_and_run(spark):
         box(r, "sizing.fixed", leverage=2)
     with pytest.raises(GraphError, match="does not fit"):
         box(r, "data.frame", "d") >> dataflow.Diagram((), (), {"bars": (("x", "bars", "Frame[other]"),)})
+
+
+def series(spark, x, symbol="a"):
+    return spark.createDataFrame([(symbol, day(i), float(v)) for i, v in enumerate(x)], "symbol string, ts date, r double")
+
+
+@pytest.mark.parametrize("wavelet", ["haar", "d4"])
+def test_wavelets(spark, wavelet):
+    from fathomline.operators import multiscale as m
+
+    x = np.random.default_rng(0).normal(size=64)
+    g, h = m.filters(wavelet)
+    assert g.sum() == pytest.approx(1) and h.sum() == pytest.approx(0) and (g @ g, h @ h, g @ h) == pytest.approx((0.5, 0.5, 0))
+    assert m.details(x, 3, wavelet).sum(0) == pytest.approx(x)
+    w, v = m.circular(x, 3, wavelet)
+    assert (w * w).sum() + (v * v).sum() == pytest.approx(x @ x)
+    got = m.modwt(series(spark, x), 3, wavelet).orderBy("ts").toPandas()
+    for j in (1, 2, 3):
+        width = (2**j - 1) * (len(g) - 1) + 1
+        assert got[f"w{j}"].isna().sum() == width - 1 and got[f"w{j}"][width - 1 :].to_numpy() == pytest.approx(w[j - 1][width - 1 :])
+    parts = m.mra(series(spark, x), 3, wavelet).orderBy("ts").toPandas()
+    assert parts[["d1", "d2", "d3", "s"]].sum(1).to_numpy() == pytest.approx(x)
+    e = m.scale_energy(series(spark, x), 3, wavelet).first().energy
+    assert sum(e) == pytest.approx(1) and len(e) == 4 and m.scale_energy(series(spark, [2.0] * 16), 2, wavelet).first().energy is None
+    assert m.max_level(64, "haar") == 6 and m.max_level(2, "d4") == 1
+    with pytest.raises(Exception, match="missing"):
+        m.modwt(series(spark, x).withColumn("r", F.when(F.col("r") < 1, F.col("r"))), 1).collect()
+    r = [v for v in values(m.resonance(series(spark, np.cumsum(np.ones(40))), 2), "resonance") if v is not None]
+    assert r and all(v == pytest.approx(1) for v in r)
+
+
+def test_lift(spark):
+    from fathomline.operators import multiscale as m
+
+    df = spark.createDataFrame([(i < 40, (i % 4 > 0) if i < 40 else i % 2 == 0) for i in range(200)] + [(True, None), (None, True)], "c boolean, s boolean")
+    r = m.conditional_lift(df, F.col("c"), F.col("s")).first()
+    assert (r.n, r.n_cond, r.p_cond) == (201, 40, 0.75) and r.p_uncond == pytest.approx(111 / 201) and r.lift == pytest.approx(0.75 / (111 / 201))
+    pool = (111 + 30) / 241
+    assert r.z == pytest.approx((0.75 - 111 / 201) / math.sqrt(pool * (1 - pool) * (1 / 201 + 1 / 40))) and r.low < 0.75 < r.high and r.power_warning is False
