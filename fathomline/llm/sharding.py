@@ -76,9 +76,13 @@ def minimax_cuts(groups: DataFrame, shards: int, giants: list[int] = ()) -> list
             at += x[2]
         if not edge:
             break
-        ranges = [(items[k][0], items[k][0] + (1 << (63 - items[k][1])) - 1) for k in edge]
-        picked = groups.sparkSession.createDataFrame(ranges, "lo long, hi long")
-        inside = rest.join(F.broadcast(picked), F.col("place").between(F.col("lo"), F.col("hi")), "left_semi")  # at most 2 ** FIRST_BITS ranges at once
+        # ranges of one length are joined by the leading bits of the place: a hash join with at most 2 ** FIRST_BITS rows
+        inside = None
+        for b in sorted({items[k][1] for k in edge}):
+            picked = groups.sparkSession.createDataFrame([(items[k][0] >> (63 - b),) for k in edge if items[k][1] == b], "r long")
+            part = rest.withColumn("r", F.shiftright("place", 63 - b)).join(F.broadcast(picked), "r", "left_semi").drop("r")
+            inside = part if inside is None else inside.unionByName(part)
+        # places are hashes, so that a range of the last few bits holds a group or two
         if sum(items[k][4] for k in edge) <= FETCH or bits + MORE_BITS > 62:
             parts = [(p, None, s, s, 1) for p, s in inside.select("place", "bytes").collect()]
         else:
