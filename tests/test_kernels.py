@@ -34,7 +34,7 @@ def test_online_levels():
     with pytest.raises(ValueError):
         kernels.addis(np.array([0.1, math.nan]))
     level = kernels.addis(np.array([1e-6, 0.9, 0.4, 0.01]))
-    assert (level > 0).all() and level[1] > level[0] * 0.5
+    assert level[1] == 0 and (level[[0, 2, 3]] > 0).all() and level[2] > level[0] * 0.5  # above tau a test is discarded
 
 
 def test_online_levels_by_the_sum_over_all_rejections():
@@ -43,9 +43,12 @@ def test_online_levels_by_the_sum_over_all_rejections():
     paid, rejected = np.concatenate([[0], np.cumsum((p <= 0.5) & (p > 0.125))]), []
     want = []
     for t, x in enumerate(p):
+        if x > 0.5:
+            want.append(0.0)
+            continue
         total = 0.025 * gamma[paid[t]] + sum((0.025 if k == 0 else 0.05) * gamma[paid[t] - paid[r + 1]] for k, r in enumerate(rejected))
-        want.append(min(0.125, 0.375 * total))
-        if x <= want[-1]:
+        want.append(min(0.125, 0.25 * total))
+        if x / 0.5 <= want[-1]:
             rejected.append(t)
     assert len(rejected) > 100 and np.allclose(kernels.addis(p), want, rtol=1e-9)
 
