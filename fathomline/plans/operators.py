@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import ship
 from ..functions import vocabulary as V
 from ..operators import causal, classify, library, multiscale, portfolio, risk, validation, volume
-from . import panel, series
+from . import series
 from .views import expand, query, spell
 
 W = series.W
@@ -190,7 +190,7 @@ QUERIES = FACTORS | {
     "mra_parts": on(SMALL, lambda d: multiscale.mra(d, 3)),
     "lift_by_symbol": on("SELECT symbol, ret > 0 AS up, lead(ret) OVER (PARTITION BY symbol ORDER BY ts) > 0 AS next_up FROM rets WHERE ret IS NOT NULL", lambda d: multiscale.conditional_lift(d, F.col("up"), F.col("next_up"), ["symbol"]).select("symbol", "n", "n_cond", F.round("lift", 8).alias("lift"), F.round("z", 6).alias("z"))),
     "suitability": on(SMALL, lambda d: validation.suitability(d, qs=(2, 4, 8)).withColumn("score", F.round("score", 6))),
-    "variance_ratio_profile": on(SMALL, lambda d: validation.variance_ratio(d).select("symbol", F.col("q").cast("double").alias("q"), F.round("vr", 8).alias("vr"), *[F.round(c, 6).alias(c) for c in ("z", "p", "z_het", "p_het")])),
+    "variance_ratio": on(SMALL, lambda d: validation.variance_ratio(d).select("symbol", F.col("q").cast("double").alias("q"), F.round("vr", 8).alias("vr"), *[F.round(c, 6).alias(c) for c in ("z", "p", "z_het", "p_het")])),
     "cpcv_splits": on("SELECT DISTINCT CAST(k - 1 AS BIGINT) AS k FROM rets", lambda d: validation.cpcv(d, 6, 2, 1).groupBy("split").agg(F.count_if(F.col("role") == "test").alias("test"), F.count_if(F.col("role") == "train").alias("train"), F.sum(F.when(F.col("role") == "test", F.col("k"))).alias("checksum"))),
     "pbo_by_sharpe": on(SMALL, lambda d: validation.pbo(d)),
     "validation_report": on(SMALL, _report),
@@ -290,4 +290,4 @@ def _duck(text: str) -> str:
     return spell(expand(text), True)
 
 
-ORACLES = {name: _duck(text) for name, text in RAW.items()} | {"variance_ratio_profile": _duck(panel.SQL["variance_ratio"])}
+ORACLES = {name: _duck(text) for name, text in RAW.items()}
