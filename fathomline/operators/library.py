@@ -79,20 +79,22 @@ def contaminated(day: Column, cutoff: str, buffer_days: int) -> Column:
 # ---- chunks and search ----------------------------------------------------------------------------
 
 
+def _stop(text: str, start: int, size: int, overlap: int) -> int:
+    """Where the window from `start` ends: at the last space among its last `overlap` characters, or when it is full."""
+    full = start + size
+    if full >= len(text):
+        return len(text)
+    space = text[full - overlap : full].rfind(" ")
+    return full if space < 0 else full - overlap + space
+
+
 def cut(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Windows of at most `size` characters of a text with single spaces, that overlap by about `overlap` and end, where
-    one is in the last `overlap` characters, at a space."""
-    text, out, start = " ".join((text or "").split()), [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            space = text.rfind(" ", start + size - overlap, end)
-            end = space if space > start else end
-        out.append(text[start:end].strip())
-        if end == len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return [c for c in out if c]
+    """Windows of at most `size` characters of a text with single spaces; each begins `overlap` before the last one's end."""
+    text, spans, at = " ".join((text or "").split()), [], 0
+    while at < len(text):
+        spans.append((at, _stop(text, at, size, overlap)))
+        at = len(text) if spans[-1][1] == len(text) else max(spans[-1][1] - overlap, at + 1)
+    return [piece for a, z in spans if (piece := text[a:z].strip())]
 
 
 def chunks(docs: DataFrame, keys: list[str], text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -60,12 +60,8 @@ def fold_plan(n: int, train: int, test: int, embargo: int = 1, scheme: str = "an
     """(train start, train end, test start, test end) of contiguous windows over n rows; ends are one beyond."""
     if train < 1 or test < 1 or embargo < 0 or scheme not in ("anchored", "rolling"):
         raise ValueError("bad plan")
-    out, at = [], train + embargo
-    while at < n:
-        end = at - embargo
-        out.append((0 if scheme == "anchored" else max(0, end - train), end, at, min(n, at + test)))
-        at += test
-    return out
+    first = lambda end: max(0, end - train) if scheme == "rolling" else 0
+    return [(first(at - embargo), at - embargo, at, min(n, at + test)) for at in range(train + embargo, n, test)]
 
 
 def nested_walk_forward(df: DataFrame, thresholds: list[float], n: int, train: int, test: int, embargo: int = 1, scheme: str = "anchored", exposure: float = 1.0, periods: float = 252, by: str = "symbol", ts: str = "ts", **sim) -> DataFrame:
